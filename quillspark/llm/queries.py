@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, pii, quality, simhash, url_filter
+from quillspark.llm import decontam, packing, pii, quality, simhash, url_filter
 from quillspark.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), packing.PackParams(public_tokenizers.path("word_bpe_49k.json"), size=4096))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -36,5 +42,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, n=5)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_simhash_dedup, op8_quality_rules, op9_url_filter, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_pii, op5_simhash_dedup, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
 ORACLES: dict[str, str] = {}
