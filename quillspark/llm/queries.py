@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, packing, pii, quality, simhash, url_filter
+from quillspark.llm import decontam, ngram_lm, packing, pii, quality, simhash, url_filter
 from quillspark.llm.common import table
 
 
@@ -13,6 +13,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", ngram_lm.held_out(F.col("doc_id")).alias("held_out"), "text")
+    model = ngram_lm.fit(docs.where("not held_out"))
+    scored = ngram_lm.score(docs, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), simhash.SimHashParams(shingle=4, bits=4))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,5 +49,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, n=5)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_simhash_dedup, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_ngram_trie, op5_simhash_dedup, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
 ORACLES: dict[str, str] = {}
