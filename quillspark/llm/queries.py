@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, ngram_lm, packing, pii, quality, simhash, url_filter
+from quillspark.llm import decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
 from quillspark.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn is read as a call of the tool `reply`, the assistant's next turn as its result.
+
+    A call's parent is the user's turn before it.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    call_id = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", F.lit(0).alias("pos"), call_id(0).alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"), call_id(2).alias("parent_id"),
+    )
+    results = turns.where("role = 'assistant'").select(call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    schemas = spark.createDataFrame([("reply", ["prompt", "turn"], {"prompt": "string", "turn": "integer"})], "name string, required array<string>, types map<string,string>")
+    out = tool_calls.link(calls, results, schemas)
+    return out.select("conv_id", "turn", "call_id", "arguments", (F.size("errors") == 0).alias("valid"), "result", "level", "rank")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -25,6 +46,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,5 +74,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, n=5)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_ngram_trie, op5_simhash_dedup, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
 ORACLES: dict[str, str] = {}
