@@ -63,3 +63,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
     counted = both.select("doc_id", "item_id", F.size("in_item").cast("long").alias("n_item"), F.size(F.array_intersect("in_item", "in_doc")).cast("long").alias("n_shared"))
     found = counted.where("n_item > 0").withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold)
     return found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_shared"), F.col("containment")).alias("_best"), F.max("containment").alias("containment")).select("doc_id", "item_id", "_best.n_item", "_best.n_shared", "containment")
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """The rows of documents that hold no item."""
+    ids = contained(docs, items, threshold, n).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(small_side(stored(ids, "contaminated")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

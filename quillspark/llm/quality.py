@@ -190,3 +190,12 @@ def judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id"
     """Statistics of every document with base_failed, rule (the list's first rule that fires, else 0) and kept."""
     rules = learn(labelled_statistics(docs, labels, params), params)
     return statistics(docs, carry).withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, params: CoverParams = CoverParams()) -> DataFrame:
+    """The rows, with all their columns, of documents that neither the base rule nor the learned list rejects."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    rules = learn(labelled_statistics(docs, labels, params), params)
+    # A condition on a nondeterministic column stays above the statistics: pushed below, it would compute them per word.
+    judged = statistics(rows, ("_row",)).withColumn("_here", F.spark_partition_id()).where(~base_failed() & (verdict(rules) == 0) & (F.col("_here") >= 0))
+    return judged.select("_row.*")

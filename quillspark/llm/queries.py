@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark.llm import decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
 from quillspark.llm.common import table
 
@@ -43,7 +44,7 @@ def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), simhash.SimHashParams(shingle=4, bits=4))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, n=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
 ORACLES: dict[str, str] = {}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, stored, words
+from quillspark.llm.common import ascii_lower, small_side, stored, words
 
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """`blocks` whole blocks of bits, of which a bucket fixes `agree`; exact while bits <= blocks - agree."""
+    """`blocks` whole blocks of bits, of which a bucket fixes `agree`; exact while bits <= blocks - agree.
+
+    `copies` independent fingerprints link documents that are near in any of them.
+    """
 
     shingle: int = 4
     bits: int = 4
@@ -35,6 +39,7 @@ class SimHashParams:
     agree: int = 2
     pivots: int = 12
     direct: int = 256
+    copies: int = 1
 
     def __post_init__(self):
         if self.bits > self.blocks - self.agree:
@@ -77,20 +82,30 @@ def majority(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a bigint) of every row."""
+def remixed(h: np.ndarray, copy: int) -> np.ndarray:
+    """The hashes of the given independent copy: themselves for copy 0, else mixed anew with a constant of the copy."""
+    if not copy:
+        return h
+    h = h ^ np.uint64(copy * 0xD1B54A32D192ED03 % (1 << 64))
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, n: int = 4, copies: int = 1) -> DataFrame:
+    """doc_id and fp0, fp1 ... (the 64 bits as a bigint) of every row."""
+    names = [f"fp{k}" for k in range(copies)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column("h")
             offsets = h.offsets.to_numpy().astype(np.int64)
-            values = h.values.to_numpy()[offsets[0] : offsets[-1]]
-            fp = majority(values.view(np.uint64), offsets - offsets[0]).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            values = h.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+            fps = [pa.array(majority(remixed(values, k), offsets - offsets[0]).view(np.int64)) for k in range(copies)]
+            yield pa.record_batch([b.column("doc_id"), *fps], names=["doc_id", *names])
 
     split = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
     hashed = split.select("doc_id", F.transform(shingles(F.col("w"), n), lambda s: F.xxhash64(s)).alias("h"))
-    return hashed.mapInArrow(run, docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return hashed.mapInArrow(run, docs.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in names]).schema)
 
 
 def references(n: int) -> np.ndarray:
@@ -226,11 +241,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = now
 
 
+def add_frames(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def edges_of(nodes: DataFrame, fp: str, p: SimHashParams) -> DataFrame:
+    """Edges src > dst between nodes whose fingerprint in the column fp is the same or near."""
+    first = stored(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("first")), "first-nodes")
+    same = nodes.join(first, F.col(fp) == F.col("fp")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(first.select("fp"), p)
+    a, b = (first.select(F.col("fp").alias(f"_{c}"), F.col("first").alias(c)) for c in "ab")
+    near = near.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).select("a", "b")
+    return same.union(near).where("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
+
+
 def groups(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
-    fps = stored(fingerprints(docs, params.shingle), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), params))
-    roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    """doc_id, fp0 ... and component_id (the smallest doc_id that links reach) of every row."""
+    names = [f"fp{k}" for k in range(params.copies)]
+    node = F.col("fp0") if params.copies == 1 else F.xxhash64(*names)
+    fps = stored(fingerprints(docs, params.shingle, params.copies).withColumn("node", node), "fingerprints")
+    nodes = stored(fps.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in names]), "distinct-fingerprints")
+    edges = links(nodes.select(F.col("fp0").alias("fp")), params) if params.copies == 1 else add_frames([edges_of(nodes, c, params) for c in names]).distinct()
+    found = components(edges).withColumnRenamed("node", "_node")
+    roots = nodes.join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     named = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(roots.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(roots.join(named, "root").select("node", "component_id"), "node").select("doc_id", *names, "component_id")
+
+
+def representatives(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """The rows of one document of each group: the one with the smallest doc_id, and of its rows one.
+
+    Rows with a null doc_id can't be told apart and stay.
+    """
+    found = groups(docs, params).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_group"))
+    found = stored(found, "groups")
+    gone = small_side(stored(found.where("_id <> _group").select("_id"), "duplicates"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = stored(found.where("_rows > 1").select("_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    repeated = small_side(repeated)
+    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
