@@ -38,7 +38,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", ngram_lm.held_out(F.col("doc_id")).alias("held_out"), "text")
     model = ngram_lm.fit(docs.where("not held_out"))
-    scored = ngram_lm.score(docs, model)
+    scored = ngram_lm.score(docs, model, ("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -76,4 +76,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+
+_PATTERNS = "\n".join(f"WHEN regexp_matches(where_, '{regex}') THEN '{verdict}'" for verdict, _, regex in sorted(url_filter.PATTERNS, key=lambda p: -len(p[2])))
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
+ORACLES: dict[str, str] = {
+    "op2_tool_calls": """
+WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+lv(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0::BIGINT FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, level + 1 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2)
+SELECT u.conv_id, u.turn, u.conv_id || ':' || u.turn AS call_id, json_object('prompt', u.text, 'turn', u.turn)::VARCHAR AS arguments,
+  u.text IS NOT NULL AS valid, a.text AS result, level, row_number() OVER (PARTITION BY u.conv_id ORDER BY level, u.turn) - 1 AS rank
+FROM u JOIN lv ON u.conv_id = lv.conv_id AND u.turn = lv.turn LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1""",
+    "op9_url_filter": f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+w AS (SELECT *, host || path AS where_,
+  CASE WHEN regexp_matches(host || path, '^([^/]*[.])?example[.]net/en/') THEN 'example.net/en/' WHEN regexp_matches(host || path, '^([^/]*[.])?example[.]com/de/') THEN 'example.com/de/'
+  WHEN regexp_matches(host || path, '^([^/]*[.])?org/fr/') THEN 'org/fr/' WHEN regexp_matches(host || path, '^([^/]*[.])?net/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' {_PATTERNS} ELSE 'allow' END AS verdict FROM w""",
+    "op10_decontamination": f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM dw WHERE len(w) >= 5), b AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM bw WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_item, n_shared, n_shared::DOUBLE / n_item AS containment FROM hit JOIN n USING (item_id) WHERE n_shared::DOUBLE / n_item >= 0.8""",
+}
