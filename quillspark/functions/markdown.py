@@ -32,7 +32,7 @@ def parse(files: DataFrame) -> DataFrame:
     read = files.select("path", "mtime", raw.alias("raw")).withColumns({"frontmatter": frontmatter(F.col("raw")), "body": strip_frontmatter(F.col("raw"))})
     get = lambda k: F.col("frontmatter")[k]
     file = F.regexp_extract("path", "[^/]*$", 0)
-    docs = read.select(
+    return read.select(
         "path",
         "mtime",
         unique_ids(slug(F.col("path")), F.col("path"), Window).alias("doc_id"),
@@ -52,7 +52,6 @@ def parse(files: DataFrame) -> DataFrame:
         image_embeds(F.col("body")).alias("images"),
         "body",
     )
-    return docs
 
 
 def sections(docs: DataFrame, levels: str = "1,3") -> DataFrame:
@@ -61,7 +60,7 @@ def sections(docs: DataFrame, levels: str = "1,3") -> DataFrame:
     parts = docs.select("doc_id", F.posexplode(F.filter(F.split("body", pattern), lambda s: F.trim(s) != "")).alias("pos", "part"))
     head = F.trim(F.regexp_extract("part", rf"\A#{{{levels}}}\s+([^\n]*)", 1))
     has = F.col("part").rlike(rf"\A#{{{levels}}}\s")
-    out = parts.select("doc_id", "pos", F.when(has, head).otherwise("(intro)").alias("heading"), F.trim(F.when(has, F.regexp_replace("part", r"\A[^\n]*\n?", "")).otherwise(F.col("part"))).alias("body"))
+    out = parts.select("doc_id", "pos", F.when(has, head).otherwise("(intro)").alias("heading"), F.regexp_replace(F.when(has, F.regexp_replace("part", r"\A[^\n]*\n?", "")).otherwise(F.col("part")), r"\A\s+|\s+\z", "").alias("body"))
     base = F.concat_ws("_", "doc_id", F.regexp_replace(F.regexp_replace(F.lower("heading"), r"\s+", "_"), "[^a-z0-9_가-힣]", ""))
     n = F.row_number().over(Window.partitionBy("doc_id", base).orderBy("pos"))
     return out.withColumns({"section_id": F.when(n == 1, base).otherwise(F.concat_ws("_", base, n.cast("string"))), "links": wikilinks(F.col("body"))})
