@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import audit, feeds, graph, index, search
+from quillspark.operators import audit, chunks, feeds, graph, index, search, social, terms
 from quillspark.operators.index import Bm25
 from quillspark.session import table
 from quillspark.streaming import events as E
@@ -139,6 +139,30 @@ def context_terms(spark, d):
     return terms.groupBy("conv_id", "term").agg(F.count("*").alias("turns")).where("turns >= 2")
 
 
+def pmi_synonyms(spark, d):
+    lines = _docs(spark, d).select(F.explode(F.split("text", "\n")).alias("text"))
+    return terms.synonyms(lines).select("term", "synonym", "pmi", "rank")
+
+
+def leak_windows(spark, d):
+    """Documents that hold 40 characters in a row of a benchmark item (from every fourth character)."""
+    private = table(spark, d, "benchmark").select(F.col("item_id").alias("private_id"), "text")
+    return terms.leaks(private, _docs(spark, d).select(F.col("doc_id").alias("probe_id"), "text"))
+
+
+def text_chunks(spark, d):
+    return chunks.chunk(_docs(spark, d).select("doc_id", F.col("source").alias("section_id"), "text")).select("doc_id", "idx", "id", F.length("content").alias("n"))
+
+
+def recommended_feed(spark, d):
+    """Events as posts (likes: their JSON count); each user follows the three users after them."""
+    e = table(spark, d, "events")
+    posts = e.select(F.col("event_id").alias("post_id"), F.col("user_id").alias("author_id"), F.col("event_id").alias("seq"), F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("likes"))
+    users = e.select(F.col("user_id").alias("reader")).distinct()
+    follows = users.select("reader", F.explode(F.array(*[F.col("reader") + k for k in (1, 2, 3)])).alias("author_id"))
+    return social.feed(posts, follows)
+
+
 # --- pages and graphs --------------------------------------------------------------------------------------------
 
 
@@ -428,7 +452,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_server_topk, bm25_app_topk, tfidf_bot_topk, direct_search, keyword_fallback, doc_freq, doc_len_stats, vocab_top, source_keywords,
-        corpus_fingerprint, exact_duplicates, vector_topk, label_centroids, maxpool_label, rrf_fusion, hotness_rerank, session_search, context_terms,
+        corpus_fingerprint, exact_duplicates, vector_topk, label_centroids, maxpool_label, rrf_fusion, hotness_rerank, session_search, context_terms, pmi_synonyms, leak_windows, text_chunks, recommended_feed,
         page_links, page_inlinks, phantom_targets, page_titles, host_pages, trade_degrees, trade_strength, trade_hubs, pagerank_directed, pagerank_undirected,
         personalised_pagerank, part_supplier_components, bfs_hops, bridge_nations, co_cited_nations, trade_communities,
         cdc_latest, cdc_live, cdc_page, version_retention, previous_version, cache_actions, changes_by_month, running_budget, last_turns, turn_growth,

@@ -109,6 +109,19 @@ ORACLES = {
         SELECT doc_id, round(x, 6) AS score FROM r ORDER BY score DESC, doc_id LIMIT 20""",
     "session_search": f"WITH s AS (SELECT conv_id, turn, {_sum([f'''contains(lower(coalesce(text, '')), '{q}')::INT''' for q in TERMS])} / 4.0::DOUBLE AS score FROM conversations) SELECT * FROM s WHERE score > 0",
     "context_terms": f"WITH t AS (SELECT DISTINCT conv_id, turn, unnest({TOKENS}) AS term FROM conversations WHERE role = 'user') SELECT conv_id, term, count(*) AS turns FROM t WHERE length(term) > 3 GROUP BY 1, 2 HAVING count(*) >= 2",
+    "pmi_synonyms": f"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL), s AS (SELECT row_number() OVER () AS i, list_distinct({TOKENS}) AS t FROM l),
+        h AS (SELECT i, unnest(t) AS term FROM s WHERE len(t) >= 2), n AS (SELECT count(DISTINCT i) AS n FROM h), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1 HAVING count(*) >= 3),
+        r AS (SELECT i, h.term, df FROM h JOIN df ON h.term = df.term QUALIFY row_number() OVER (PARTITION BY i ORDER BY df, h.term) <= 60),
+        p AS (SELECT a.term AS a, b.term AS b, a.df AS da, b.df AS db, count(*) AS c FROM r a JOIN r b ON a.i = b.i AND a.term < b.term GROUP BY ALL HAVING count(*) >= 3 AND count(*) >= 0.5 * least(a.df, b.df)),
+        m AS (SELECT a, b, round(log2(c * n / (da * db)), 6) AS pmi FROM p, n), e AS (SELECT a AS term, b AS synonym, pmi FROM m WHERE pmi >= 2 UNION ALL SELECT b, a, pmi FROM m WHERE pmi >= 2)
+        SELECT *, row_number() OVER (PARTITION BY term ORDER BY pmi DESC, synonym) AS rank FROM e QUALIFY rank <= 3""",
+    "leak_windows": """WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM benchmark),
+        w AS (SELECT item_id, substr(t, unnest(range(1, length(t) - 38, 4)), 40) AS w FROM b WHERE length(t) >= 40)
+        SELECT DISTINCT item_id AS private_id, doc_id AS probe_id FROM d, w WHERE contains(t, w)""",
+    "recommended_feed": """WITH post AS (SELECT event_id AS post_id, user_id AS author_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS likes FROM events), u AS (SELECT DISTINCT user_id AS reader FROM events),
+        f AS (SELECT reader, reader + k AS author_id FROM u, (VALUES (1), (2), (3)) v(k)), own AS (SELECT reader, post_id, row_number() OVER (PARTITION BY reader ORDER BY post_id DESC) AS n FROM f JOIN post USING (author_id)),
+        top AS (SELECT post_id, row_number() OVER (ORDER BY likes DESC, post_id) AS n FROM post QUALIFY n <= 10), a AS (SELECT reader, post_id, -n AS at_ FROM own WHERE n <= 20 UNION ALL SELECT reader, post_id, 1000000000 + n FROM u, top),
+        o AS (SELECT reader, post_id, min(at_) AS at_ FROM a GROUP BY 1, 2) SELECT reader, post_id, row_number() OVER (PARTITION BY reader ORDER BY at_, post_id) AS place FROM o QUALIFY place <= 15""",
     "page_links": f"WITH {_HREF} SELECT page_id, count(*) AS links, count(DISTINCT target) AS targets FROM h GROUP BY 1",
     "page_inlinks": f"WITH {_HREF} SELECT target, count(DISTINCT page_id) AS referrers FROM h GROUP BY 1",
     "phantom_targets": f"WITH {_HREF} SELECT target, count(DISTINCT page_id) AS referrers FROM h WHERE target NOT IN (SELECT regexp_extract(url, '://[^/?#]*([^?#]*)', 1) FROM pages WHERE url IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT page_id) >= 6",
