@@ -47,6 +47,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Names such as no-sidebar or has-menu tell of a page's layout, not of what an element holds.
+LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][a-z]+")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|$|=)|display\s*:\s*none", re.I)
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,9 @@ class Node:
 
 
 def names(attributes: str) -> list[str]:
-    return [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())] if "=" in attributes else []
+    if "=" not in attributes:
+        return []
+    return [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(LAYOUT.sub("", (m[2] or m[3] or m[4] or "").lower()))]
 
 
 def key_of(text: str) -> int:
@@ -104,7 +109,7 @@ def walk(source: str) -> Iterator[tuple[str, str, tuple[Node, ...]]]:
         own = names(m["attrs"])
         label = tag + "".join(f".{w}" for w in sorted(set(own)))
         path = f"{stack[-1].path}/{label}" if tag not in INLINE and tag != "p" else stack[-1].path
-        bad = tag in SKIPPED or (not BOILERPLATE.isdisjoint(own) and tag not in ("html", "body"))
+        bad = tag in SKIPPED or (tag not in ("html", "body") and (not BOILERPLATE.isdisjoint(own) or HIDDEN.search(m["attrs"]) is not None))
         node = Node(tag, key_of(path), stack[-1].skipped or bad, path)
         if tag in VOID or m["attrs"].endswith("/") and tag in INLINE:
             continue

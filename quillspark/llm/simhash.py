@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, small_side, stored, words
+from quillspark.operators.graph import components
 
 
 @dataclass(frozen=True)
@@ -225,22 +226,6 @@ def links(distinct: DataFrame, p: SimHashParams) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node and root (its component's smallest node) for every node of the edges src > dst, by star contraction."""
-    edges = stored(edges, name)
-    while True:
-        both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        # Large stars: larger neighbours go to the smallest neighbour; then small stars for the smaller ones.
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").union(low.select("src", "m")).distinct()
-        now = stored(small, name)
-        if now.count() == edges.count() and now.exceptAll(edges).isEmpty():
-            return now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        edges = now
-
-
 def add_frames(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

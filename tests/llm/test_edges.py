@@ -86,6 +86,14 @@ def test_pages(spark):
     assert html_extract.extract(none).collect() == [] and url_filter.judge(none, [url_filter.suffix_rule("block", "net/")]).collect() == []
 
 
+def test_markup():
+    page = """<body class="has-sidebar"><div class="no-menu wrap"><main><h1>A&nbsp;b</h1><p>c<!-- no --><i>d</i> e<br>f <div hidden>no</div><section class="post-comments">no</section>
+    <ul><li>g<li>h</ul><form>no</form><table><tr><td>i</td><td>j</td></tr></table><div style="display: none">no</div><p>k &lt;l&gt; &copy x > y</main><footer>no</footer></div></body>"""
+    assert html_extract.main_text(page, None, frozenset()) == "A b cd e f g h i j k <l> \u00a9 x > y"
+    assert html_extract.main_text("<p>open <b>never closed <a href='x>y'>z", None, frozenset()) == "open never closed z"
+    assert html_extract.main_text("<script>if (a<b) '</p>'</script>t <style>p{}</style><!-- open", None, frozenset()) == "t"
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
