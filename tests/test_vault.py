@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import markdown, text, vectors
-from quillspark.operators import feeds, graph, index, lint, search
+from quillspark.operators import feeds, graph, index, lint, recall, search
 from quillspark.sources import vault as source
 from tests import vault
 
@@ -134,3 +134,15 @@ def test_scan(spark, tmp_path):
 def test_versions(spark):
     hits = spark.createDataFrame([(1, "plan v1"), (2, "plan v2"), (3, "plan final"), (4, "other")], "doc_id long, name string")
     assert values(search.deduplicate_versions(hits, F.col("name")), "doc_id") == [(3,), (4,)]
+
+
+def test_recall(docs):
+    own = docs.where("folder <> '_reports'")
+    edges, _ = graph.link_graph(own)
+    hits = docs.sparkSession.createDataFrame([("c1", 3.0), ("n1", 2.0)], "doc_id string, score double")
+    got = {(r["role"], r["doc_id"]): r for r in recall.bundle(hits, edges, own, ["n4"], seeds=2, around=3).collect()}
+    assert {k for k in got if k[0] == "core"} == {("core", "c1"), ("core", "n1")}
+    # P touches both seeds; N4 touches one and is named by the query.
+    assert got["around", "n4"]["place"] == 1 and got["around", "n4"]["score"] == 2 + 3 + 0.2 * 4 and ("around", "p") in got
+    text = {r["role"]: r["markdown"] for r in recall.render(recall.bundle(hits, edges, own, [], seeds=2)).collect()}
+    assert text["core"].startswith("## core\n### C1\n# C1")
