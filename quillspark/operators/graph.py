@@ -52,7 +52,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    links = edges.select("src", "dst").distinct()
+    links = cut(edges.select("src", "dst").distinct())  # each pass reads them, so what they come from is computed once
     fan = links.groupBy("src").agg(F.count("*").alias("fan"))
     links = cut(links.join(fan, "src"))
     ranks = cut(nodes.select("node", F.lit(1.0 / n).alias("score")).join(fan.select(F.col("src").alias("node"), "fan"), "node", "left"))
@@ -76,7 +76,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
 
 def personalised(edges: DataFrame, seeds: DataFrame, restart: float = 0.4, iterations: int = 20, every: int = 5) -> DataFrame:
     """node and score of weighted undirected edges (src, dst, weight): restart at the seeds (node, score), by their share."""
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
+    edges = cut(edges.select("src", "dst", "weight"))
+    both = edges.union(edges.select("dst", "src", "weight"))
     total = both.groupBy("src").agg(F.sum("weight").alias("total"))
     both = cut(both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     start = seeds.select("node", F.greatest("score", F.lit(0.01)).alias("p"))
@@ -107,7 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int = 3) -> DataFrame:
     """node and hops (fewest edges from a seed, up to `most`) along undirected edges; seeds: node."""
-    both = undirected(edges)
+    both = cut(undirected(edges))
     seen = cut(seeds.select("node", F.lit(0).alias("hops")).distinct())
     for k in range(1, most + 1):
         front = both.join(seen.where(F.col("hops") == k - 1), F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
