@@ -39,7 +39,7 @@ END, START = b"\n", b"\t"
 class LmParams:
     discount: float = 0.75
     shard_rows: int = 2_000_000
-    cache: int = 300_000
+    cache: int = 800_000
 
 
 class EliasFano:
@@ -47,7 +47,7 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], n: int, low_bits: int):
         self.n, self.l = n, low_bits
-        self.high, self.ones, self.low = arrays["high"], arrays["ones"], arrays["low"]
+        self.high, self.ones, self.zeros, self.low = (arrays[k] for k in ("high", "ones", "zeros", "low"))
 
     @staticmethod
     def build(x: np.ndarray) -> tuple[dict[str, np.ndarray], int, int]:
@@ -57,8 +57,9 @@ class EliasFano:
         high = (x >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         words = np.zeros((int(high[-1]) if n else 0) // 64 + 2, dtype=np.uint64)
         np.bitwise_or.at(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
-        # ones: set bits before each 64-bit word.
+        # ones and zeros: such bits before each 64-bit word.
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.uint32)
+        zeros = (64 * np.arange(len(ones)) - ones).astype(np.uint32)
         low = np.zeros(n * low_bits // 64 + 2, dtype=np.uint64)
         if low_bits:
             value = x & np.uint64((1 << low_bits) - 1)
@@ -67,7 +68,7 @@ class EliasFano:
             np.bitwise_or.at(low, at >> 6, value << shift)
             over = np.flatnonzero((at & 63) + low_bits > 64)
             np.bitwise_or.at(low, (at[over] >> 6) + 1, value[over] >> (np.uint64(64) - shift[over]))
-        return {"high": words, "ones": ones, "low": low}, n, low_bits
+        return {"high": words, "ones": ones, "zeros": zeros, "low": low}, n, low_bits
 
     def _in_word(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Place of the k-th (from 0) set bit of each word."""
@@ -81,17 +82,14 @@ class EliasFano:
         return at
 
     def select1(self, i: np.ndarray) -> np.ndarray:
-        w = np.searchsorted(self.ones, i, side="right") - 1
+        """Place of the i-th set bit."""
+        w = np.searchsorted(self.ones, i.astype(np.uint32), side="right") - 1
         return 64 * w + self._in_word(self.high[w], i - self.ones[w].astype(np.int64))
 
     def select0(self, i: np.ndarray) -> np.ndarray:
-        """Place of the i-th zero, by bisection of the directory's zero counts."""
-        lo, hi = np.zeros(len(i), dtype=np.int64), np.full(len(i), len(self.ones) - 1, dtype=np.int64)
-        while (hi - lo > 1).any():
-            mid = (lo + hi) >> 1
-            ok = 64 * mid - self.ones[mid].astype(np.int64) <= i
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
-        return 64 * lo + self._in_word(~self.high[lo], i - (64 * lo - self.ones[lo].astype(np.int64)))
+        """Place of the i-th zero."""
+        w = np.searchsorted(self.zeros, i.astype(np.uint32), side="right") - 1
+        return 64 * w + self._in_word(~self.high[w], i - self.zeros[w].astype(np.int64))
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -181,7 +179,7 @@ def _coded(prefix: str, x: np.ndarray) -> dict[str, np.ndarray]:
 
 def _sequence(parts: dict[str, np.ndarray], prefix: str) -> EliasFano:
     n, low_bits = (int(v) for v in parts[f"{prefix}.meta"])
-    return EliasFano({k: parts[f"{prefix}.{k}"] for k in ("high", "ones", "low")}, n, low_bits)
+    return EliasFano({k: parts[f"{prefix}.{k}"] for k in ("high", "ones", "zeros", "low")}, n, low_bits)
 
 
 def hash_words(found: list[bytes]) -> np.ndarray:
@@ -205,17 +203,16 @@ class Codes:
         return np.fromiter((self.known[w] for t in texts for w in t), dtype=np.int64, count=sum(map(len, texts)))
 
 
-def split_texts(batch: pa.RecordBatch) -> list[list[bytes]]:
-    """Words of each text (ASCII letters lower-cased), then the end token."""
-    return [(t or b"").lower().split() + [END] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+def chunks(batch: pa.RecordBatch, words: int = 200_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Runs of whole texts of about so many words, with the number of the first.
 
-
-def chunks(texts: list[list[bytes]], words: int = 200_000) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Runs of whole texts of about so many words, with the number of the first."""
+    A text is its words (ASCII letters lower-cased), then the end token. One run is split at a time.
+    """
+    texts = batch.column("text").cast(pa.binary())
     own, first, n = [], 0, 0
-    for k, t in enumerate(texts):
-        own.append(t)
-        n += len(t)
+    for k in range(len(texts)):
+        own.append((texts[k].as_py() or b"").lower().split() + [END])
+        n += len(own[-1])
         if n >= words or k == len(texts) - 1:
             yield first, own
             own, first, n = [], k + 1, 0
@@ -297,7 +294,7 @@ def count_words(docs: DataFrame, p: LmParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(hash_words, p.cache)
         for b in batches:
-            for _, texts in chunks(split_texts(b)):
+            for _, texts in chunks(b):
                 h, n = np.unique(codes(texts), return_counts=True)
                 yield pa.record_batch([pa.array(h), pa.array(n)], names=["hash", "n"])
 
@@ -337,7 +334,7 @@ def pair_shards(docs: DataFrame, model: Model, folder: str) -> list[dict]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(number, p.cache)
         for b in batches:
-            for _, texts in chunks(split_texts(b)):
+            for _, texts in chunks(b):
                 key, n = np.unique(pairs_of(texts, codes(texts), model.v + 1), return_counts=True)
                 yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
 
@@ -397,9 +394,9 @@ def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
     return Model(words, pair_shards(docs, Model(words, [], p), folder), p)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with n_tokens, n_known, base_score and score in place of the text."""
-    p, carry = model.p, [c for c in docs.columns if c != "text"]
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of every row with n_tokens, n_known, base_score and score."""
+    p, carry = model.p, list(keep)
 
     def number(found: list[bytes]) -> np.ndarray:
         h = hash_words(found)
@@ -414,7 +411,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             n = np.zeros((2, b.num_rows), dtype=np.int64)
             logs = np.zeros((2, b.num_rows))
-            for first, texts in chunks(split_texts(b)):
+            for first, texts in chunks(b):
                 found = codes(texts)
                 ids, counts = found & ((1 << 31) - 1), found >> 31
                 keys, at, back = np.unique(pairs_of(texts, ids, model.v + 1), return_index=True, return_inverse=True)
@@ -427,7 +424,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], *map(pa.array, n), *map(pa.array, logs)], names=[*carry, "n_tokens", "n_known", "base_score", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(*carry, "text").mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(doc_id: Column) -> Column:
