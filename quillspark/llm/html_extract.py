@@ -8,8 +8,9 @@ boilerplate, what remains are slots, and the template's element that holds most
 one) is where the main text stands. Parts that their elements name as menus, adverts, comments and so on are left out.
 
 Defined results: null and empty html give an empty text; a url without a host shares one template with its like; hosts
-with few pages have no template of text, and their pages go by their own elements; repeated rows give one row each,
-and copies count once as evidence; an empty table gives no rows. Extra columns are ignored.
+with few pages have no template of text, and their pages go by their own elements; repeated rows give one row each;
+copies of a page are evidence as often as they occur, but a page whose slots would all be template keeps its text; an
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ def templates(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFra
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names_)
 
     seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, key long, is_text boolean, is_main boolean, depth int, n long, inside long")
-    # Occurrence vectors, summed up: copies of a page have its hash and add the same term, so supports count them once only roughly; distinct hashes are counted for the host.
+    # Occurrence vectors, summed up: the sum over pages of a hash of page and count, beside an exclusive or of another.
     vectors = seen.groupBy("host", "key").agg(
         F.first("is_text").alias("is_text"),
         F.first("is_main").alias("is_main"),
@@ -201,10 +202,13 @@ def templates(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFra
         F.sum(F.xxhash64("n", "page").bitwiseAND((1 << 40) - 1)).alias("vector"),
     )
     vectors = stored(vectors, "token-vectors")
-    hosts = vectors.groupBy("host").agg(F.max("support").alias("pages"), F.max("inside").alias("most"))
-    classes = vectors.groupBy("host", "support", "total", "mixed", "vector").agg(F.count("*").alias("tokens"))
-    classed = vectors.join(classes, ["host", "support", "total", "mixed", "vector"]).join(hosts, "host")
-    valid = classed.where((F.col("tokens") >= p.min_tokens) & (F.col("support") >= p.support * F.col("pages")) & (F.col("pages") >= p.min_pages) & (F.col("total") == F.col("support")))
+    hosts = vectors.groupBy(F.col("host").alias("_h")).agg(F.max("support").alias("pages"), F.max("inside").alias("most"))
+    hosts = small_side(stored(hosts, "template-hosts"))
+    # What too few pages hold can't be template; most tokens are such, so the classes are formed from few rows.
+    common = vectors.join(hosts, F.col("host") == F.col("_h")).where((F.col("pages") >= p.min_pages) & (F.col("support") >= p.support * F.col("pages")) & (F.col("total") == F.col("support")))
+    common = stored(common.drop("_h"), "common-tokens")
+    vector = ["host", "support", "total", "mixed", "vector"]
+    valid = common.join(common.groupBy(*vector).agg(F.count("*").alias("tokens")).where(F.col("tokens") >= p.min_tokens), vector)
     main = F.max_by("key", F.when(~F.col("is_text") & (F.col("is_main") | (F.col("inside") >= p.main_share * F.col("most"))), F.struct("is_main", "depth", "inside", "key")))
     return valid.groupBy("host").agg(main.alias("main_key"), F.collect_set(F.when(F.col("is_text"), F.col("key"))).alias("text_keys"))
 
