@@ -223,7 +223,37 @@ def links(distinct: DataFrame, p: SimHashParams) -> DataFrame:
 
     keyed = distinct.select(F.explode(bucket_keys(p)).alias("b"), "fp").select("b.t", "b.key", "fp")
     dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    return dealt.mapInArrow(run, "src long, dst long").distinct()
+    return thinned(dealt.mapInArrow(run, "src long, dst long"))
+
+
+def contract(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node to the smallest that it reaches, other than to itself."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b, label = at[: len(src)], at[len(src) :], np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            own = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[own], nodes[label[own]]
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: the buckets link a node to many others, which meet in the node's task.
+
+    Each task keeps one edge for each node that it sees.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, dtype=np.int64)] * 2
+        for b in batches:
+            kept = contract(*(np.concatenate([k, b.column(c).to_numpy()]) for k, c in zip(kept, ("src", "dst"))))
+        if len(kept[0]):
+            yield pa.record_batch([pa.array(x) for x in kept], names=["src", "dst"])
+
+    return edges.repartition("src").mapInArrow(run, "src long, dst long")
 
 
 def add_frames(frames: list[DataFrame]) -> DataFrame:
@@ -246,7 +276,7 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFram
     node = F.col("fp0") if params.copies == 1 else F.xxhash64(*names)
     fps = stored(fingerprints(docs, params.shingle, params.copies).withColumn("node", node), "fingerprints")
     nodes = stored(fps.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in names]), "distinct-fingerprints")
-    edges = links(nodes.select(F.col("fp0").alias("fp")), params) if params.copies == 1 else add_frames([edges_of(nodes, c, params) for c in names]).distinct()
+    edges = links(nodes.select(F.col("fp0").alias("fp")), params) if params.copies == 1 else thinned(add_frames([edges_of(nodes, c, params) for c in names]))
     found = components(edges).withColumnRenamed("node", "_node")
     roots = nodes.join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     named = roots.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -314,3 +314,11 @@ def test_pipeline(spark, corpus, tmp_path):
     assert not got & copies and not got & leaks and 5000 not in got
     clean = set(range(120)) - copies - leaks
     assert clean <= got
+
+
+def test_contraction_keeps_components():
+    r = np.random.default_rng(9)
+    a, b = r.integers(0, 300, 250), r.integers(0, 300, 250)
+    src, dst = simhash.contract(a, b)
+    assert closure(300, zip(a, b)) == closure(300, zip(src, dst)) and (src > dst).all() and len(set(src)) == len(src)
+    assert [len(x) for x in simhash.contract(a[:0], b[:0])] == [0, 0]
