@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, small_side, stored, words
+from quillspark.llm.common import ascii_lower, stored, words
 from quillspark.operators.graph import components
 
 
@@ -283,18 +283,8 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFram
     return fps.join(roots.join(named, "root").select("node", "component_id"), "node").select("doc_id", *names, "component_id")
 
 
-def representatives(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """The rows of one document of each group: the one with the smallest doc_id, and of its rows one.
+def representatives(docs: DataFrame, params) -> DataFrame:
+    """The rows of one document of each group of near-duplicates; similarity is verified on whole shingle sets (`near`)."""
+    from quillspark.llm import near
 
-    Rows with a null doc_id can't be told apart and stay.
-    """
-    found = groups(docs, params).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_group"))
-    found = stored(found, "groups")
-    gone = small_side(stored(found.where("_id <> _group").select("_id"), "duplicates"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = stored(found.where("_rows > 1").select("_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    repeated = small_side(repeated)
-    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    return near.representatives(docs, params)
