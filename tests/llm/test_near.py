@@ -57,3 +57,20 @@ def test_near_in_bits_alone_stays(spark):
     assert low
     kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
     assert all(i + 30 in kept for i in low)
+
+
+def test_just_over_the_threshold_goes(spark):
+    """Pairs between 0.8 and 0.85: over a quarter differ in more than 8 bits of each of three fingerprints."""
+    r = random.Random(4)
+    pairs = [(t, changed(r, t, 6)) for t in (prose(r, 300) for _ in range(60))]
+    pairs = [(a, b) for a, b in pairs if similar(shingle_set(a), shingle_set(b))]
+    assert len(pairs) > 30
+    rows = list(enumerate([a for a, _ in pairs] + [b for _, b in pairs]))
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()} == set(range(len(pairs)))
+
+
+def test_different_texts_of_one_id_stay(spark):
+    r = random.Random(6)
+    a, b, c = (prose(r, 50) for _ in range(3))
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, [(1, a), (1, b), (1, b), (2, a), (2, c)]), "").collect()
+    assert sorted(tuple(x) for x in kept) == sorted([(1, a), (1, b), (2, c)])
