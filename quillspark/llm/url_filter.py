@@ -1,7 +1,8 @@
 """URL filtering with pattern rules that are indexed by their rarest literal token.
 
-A rule is a host suffix and a path prefix. Its index token is the literal token of the rule that the fewest URLs
-hold; a URL's tokens fetch candidate rules from that index, and only candidates run their regular expression.
+A rule is a host suffix and a path prefix, or a pattern with alternatives. Any match of a rule holds all literal tokens
+of one of its alternatives, each of which is indexed under the token that the fewest URLs hold; a URL's tokens, whole and
+without the digits at their end, fetch candidate rules from that index, and only candidates run their regular expression.
 
 Defined results: null URLs and those without "://" have an empty host and path and meet no rule; repeated rows give
 one row each; with no rules every URL gets the default verdict. Extra columns of the input are dropped.
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import ascii_lower, small_side, stored
 
 TOKEN = "[a-z0-9_-]+"
-#: Patterns of addresses that carry no article: (verdict, literal tokens, regular expression over host and path).
+#: Patterns of addresses that carry no article: (verdict, tokens of which any match holds one, without digits at its end,
+#: regular expression over host and path).
 PATTERNS = [
-    ("block", ["ads"], "(^|[./])ads?[0-9]*([./]|$)"),
+    ("block", ["ad", "ads"], "(^|[./])ads?[0-9]*([./]|$)"),
     ("block", ["doubleclick"], "(^|\\.)doubleclick\\."),
     ("block", ["login"], "/login(/|$)"),
     ("block", ["signup"], "/signup(/|$)"),
@@ -32,11 +34,13 @@ PATTERNS = [
 def suffix_rule(verdict: str, rule: str) -> dict:
     """A (host, path) rule such as `example.net/en/`: the host and its subdomains, paths that start with the path."""
     host, _, path = rule.partition("/")
-    return {"verdict": verdict, "rule": rule, "tokens": sorted(set(re.findall(TOKEN, rule.lower()))), "pattern": f"^([^/]*\\.)?{re.escape(host)}/{re.escape(path)}", "rank": 1000 + len(rule)}
+    # Paths may go on where the rule ends, so a token at its end needn't be one of the URL.
+    tokens = sorted(set(re.findall(f"{TOKEN}(?![a-z0-9_-]|$)", rule.lower())))
+    return {"verdict": verdict, "rule": rule, "tokens": [tokens], "pattern": f"^([^/]*\\.)?{re.escape(host)}/{re.escape(path)}", "rank": 1000 + len(rule)}
 
 
 def pattern_rule(verdict: str, tokens: list[str], pattern: str) -> dict:
-    return {"verdict": verdict, "rule": None, "tokens": tokens, "pattern": pattern, "rank": len(pattern)}
+    return {"verdict": verdict, "rule": None, "tokens": [[t] for t in tokens], "pattern": pattern, "rank": len(pattern)}
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -48,9 +52,9 @@ def parts(pages: DataFrame) -> DataFrame:
 
 
 def index_rules(spark: SparkSession, rules: list[dict], counts: DataFrame) -> DataFrame:
-    """One row for each rule with `token`, its literal token that the fewest URLs hold (ties: first in the alphabet)."""
+    """One row for each alternative of a rule with `token`, its literal token that the fewest URLs hold (ties: first in the alphabet)."""
     table = spark.createDataFrame(
-        [(k, r["verdict"], r["rule"], r["tokens"], r["pattern"], r["rank"]) for k, r in enumerate(rules)],
+        [(k, r["verdict"], r["rule"], t, r["pattern"], r["rank"]) for k, (r, t) in enumerate((r, t) for r in rules for t in r["tokens"])],
         "rule_id int, verdict string, rule string, tokens array<string>, pattern string, rank int",
     )
     literal = table.select("rule_id", F.explode("tokens").alias("token"))
@@ -63,7 +67,8 @@ def judge(pages: DataFrame, rules: list[dict], default: str = "allow") -> DataFr
     """page_id, host, path, rule, verdict and n_candidates of every row; the highest-ranked fitting rule decides."""
     spark = pages.sparkSession
     split = parts(pages).withColumn("_where", F.concat("host", "path"))
-    tokens = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("_where")), F.lit(TOKEN), F.lit(0)))
+    found = F.regexp_extract_all(ascii_lower(F.col("_where")), F.lit(TOKEN), F.lit(0))
+    tokens = F.array_union(found, F.transform(found, lambda t: F.regexp_replace(t, "[0-9]+$", "")))
     # The rules look at host and path alone, so each different address is judged once.
     where = split.select("_where").distinct()
     held = where.select("_where", F.explode(tokens).alias("token"))
