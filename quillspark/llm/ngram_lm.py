@@ -25,21 +25,26 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow_words import Known, numbered, runs, split
 from quillspark.llm.common import new_folder, stored
 
-#: Stand-ins for words that white space keeps out of texts: the end of a text, and its start as a context.
-END, START = b"\n", b"\t"
+#: The end of a text: white space, so no word of any text.
+END = b"\n"
+#: The lower half of a pair: its word's number. The upper half is its context, V + 1 for the start of a text.
+WORD = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
 class LmParams:
     discount: float = 0.75
     shard_rows: int = 2_000_000
-    cache: int = 800_000
+    cache: int = 600_000
+    run_bytes: int = 6 << 20
 
 
 class EliasFano:
@@ -149,10 +154,14 @@ _MAPPED: dict[str, dict[str, np.ndarray]] = {}
 
 
 def read_shard(uri: str) -> dict[str, np.ndarray]:
-    """Map a shard; one in a remote store is copied to the worker's disk first."""
+    """Map a shard of the model in use; one in a remote store goes through a file that is unlinked once it is mapped."""
     if uri not in _MAPPED:
+        folder = uri.rsplit("/", 1)[0] + "/"
+        for other in [k for k in _MAPPED if not k.startswith(folder)]:
+            del _MAPPED[other]
         store, path = _open(uri)
-        if store.type_name != "local":
+        copied = store.type_name != "local"
+        if copied:
             import tempfile
 
             handle, local = tempfile.mkstemp(suffix=".trie")
@@ -162,6 +171,8 @@ def read_shard(uri: str) -> dict[str, np.ndarray]:
             path = local
         with open(path, "rb") as f:
             view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        if copied:
+            os.unlink(path)  # the mapping keeps it for as long as the worker needs it
         size = int.from_bytes(view[:8], "little")
         at, parts = 8 + size + -size % 8, {}
         for line in view[8 : 8 + size].decode().splitlines():
@@ -187,35 +198,14 @@ def hash_words(found: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in found), dtype=np.int64, count=len(found))
 
 
-class Codes:
-    """A bounded memory of what words stand for; `code` computes the unknown ones together."""
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words with ASCII letters lower-cased, without end tokens, and how many each text has."""
+    return split(pc.ascii_lower(texts))
 
-    def __init__(self, code, limit: int):
-        self.code, self.limit, self.known = code, limit, {}
 
-    def __call__(self, texts: list[list[bytes]]) -> np.ndarray:
-        new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set().union(*texts)
-        new = sorted(new)
-        self.known.update(zip(new, self.code(new).tolist()))
-        return np.fromiter((self.known[w] for t in texts for w in t), dtype=np.int64, count=sum(map(len, texts)))
-
-
-def chunks(batch: pa.RecordBatch, words: int = 200_000) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Runs of whole texts of about so many words, with the number of the first.
-
-    A text is its words (ASCII letters lower-cased), then the end token. One run is split at a time.
-    """
-    texts = batch.column("text").cast(pa.binary())
-    own, first, n = [], 0, 0
-    for k in range(len(texts)):
-        own.append((texts[k].as_py() or b"").lower().split() + [END])
-        n += len(own[-1])
-        if n >= words or k == len(texts) - 1:
-            yield first, own
-            own, first, n = [], k + 1, 0
+def with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Put the end token's value behind each text's own values."""
+    return np.insert(values, np.cumsum(lengths), end)
 
 
 class Level:
@@ -236,14 +226,17 @@ class Level:
 class Model:
     """The trie as its table of shards describes it; small enough to go to every task."""
 
-    def __init__(self, words: list[dict], pairs: list[dict], p: LmParams):
-        offset = 0
+    def __init__(self, words: list[dict], pairs: list[dict], p: LmParams, name: str):
+        self.name, offset = name, 0
         for s in sorted(words, key=lambda s: s["first"]):
             s["offset"] = offset
             offset += s["n"]
         self.words, self.pairs, self.p = Level(words), Level(pairs), p
         self.v = offset
+        if offset + 2 > WORD:
+            raise ValueError("more words than a pair's 31 bits can number")
         self.total = sum(s["total"] for s in words)
+        self.end = int(self.lookup(hash_words([END]))[0][0])
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each word (V if it is unknown) and its count; hashes must be sorted."""
@@ -263,39 +256,50 @@ class Model:
 
     def pair_logs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probabilities of sorted, distinct pairs context * 2^31 + word, given the words' counts."""
-        context, word = keys >> 31, keys & ((1 << 31) - 1)
+        word = keys & WORD
         weight, out = np.ones(len(keys)), np.full(len(keys), np.nan)
-        for s, own in self.pairs.ranges(context):
+        for s, own in self.pairs.ranges(keys):
             parts = read_shard(s["path"])
             contexts, pointers, bases, successors = (_sequence(parts, k) for k in ("context", "pointer", "base", "successor"))
-            c = (context[own] - s["first"]).astype(np.uint64)
+            # Each distinct context is searched once, its pairs relative to its start.
+            context = keys[own] >> 31
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            size = np.diff([*first, len(context)])
+            each = context[first]
+            c = np.maximum(each - (s["first"] >> 31), 0).astype(np.uint64)
             at = contexts.successor(c)
             near = np.minimum(at, contexts.n - 1)
-            known = (at < contexts.n) & (contexts.access(near) == c)
-            weight[own] = np.where(known, parts["backoff"][near], 1.0)
+            known = (at < contexts.n) & (contexts.access(near) == c) & (each >= s["first"] >> 31)
+            weight[own] = np.repeat(np.where(known, parts["backoff"][near], 1.0), size)
+            low, high, stop = (np.repeat(x, size) for x in (bases.access(near), bases.access(near + 1), pointers.access(near + 1).astype(np.int64)))
             # Successors of a context are its words' numbers above the context's base, up to the next base.
-            q = bases.access(near) + word[own].astype(np.uint64)
+            q = low + word[own].astype(np.uint64)
             place = successors.successor(q)
-            inside = known & (place < pointers.access(near + 1).astype(np.int64)) & (q < bases.access(near + 1))
+            inside = np.repeat(known, size) & (place < stop) & (q < high)
             place = np.minimum(place, successors.n - 1)
             inside &= successors.access(place) == q
             out[own] = np.where(inside, parts["levels"][parts["prob"][place]], np.nan)
-        return np.where(np.isnan(out), np.log10(weight * self.word_prob(counts)), out)
+        rest = np.isnan(out)
+        out[rest] = np.log10(weight[rest] * self.word_prob(counts[rest]))
+        return out
 
 
 def _shards(df: DataFrame, write, name: str) -> list[dict]:
     """Run the writer over a sorted frame and collect its shards' descriptions, a few numbers for each."""
-    return [r.asDict() for r in stored(df.mapInArrow(write, "first long, n long, total long, path string"), name).collect()]
+    return [r.asDict() for r in stored(df.mapInArrow(write, "first long, last long, n long, total long, path string"), name).collect()]
 
 
 def count_words(docs: DataFrame, p: LmParams) -> DataFrame:
     """hash and n of every word of the texts, end tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(hash_words, p.cache)
+        known = Known(p.cache)
         for b in batches:
-            for _, texts in chunks(b):
-                h, n = np.unique(codes(texts), return_counts=True)
+            for _, texts in runs(b.column("text"), p.run_bytes):
+                words, _ = tokens(texts)
+                place, distinct = numbered(words)
+                h = np.append(known(distinct, hash_words), hash_words([END]))
+                n = np.append(np.bincount(place, minlength=len(distinct)), len(texts))
                 yield pa.record_batch([pa.array(h), pa.array(n)], names=["hash", "n"])
 
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -307,50 +311,81 @@ def word_shards(counts: DataFrame, folder: str, p: LmParams) -> list[dict]:
         if got:
             h, n = (np.concatenate(x) for x in zip(*got))
             path = write_shard(folder, {**_coded("hash", h - h[0]), "count": n})
-            yield pa.record_batch([pa.array([h[0]]), pa.array([len(h)]), pa.array([int(n.sum())]), pa.array([path])], names=["first", "n", "total", "path"])
+            yield pa.record_batch([pa.array([h[0]]), pa.array([h[-1]]), pa.array([len(h)]), pa.array([int(n.sum())]), pa.array([path])], names=["first", "last", "n", "total", "path"])
 
     shards = max(1, counts.count() // p.shard_rows)
     return _shards(counts.repartitionByRange(shards, "hash").sortWithinPartitions("hash"), write, "word-shards")
 
 
-def pairs_of(texts: list[list[bytes]], ids: np.ndarray, start: int) -> np.ndarray:
-    """Context * 2^31 + word for every token; a text's first context is the start."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])] = start
-    return before * (1 << 31) + ids
+_NUMBERS: dict[str, Known] = {}
 
 
-def pair_shards(docs: DataFrame, model: Model, folder: str) -> list[dict]:
-    p = model.p
+def numbers(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of the texts, an end token behind each (V: unknown), and the texts' lengths in tokens.
 
-    def number(found: list[bytes]) -> np.ndarray:
+    What a worker has looked up it remembers for the model's other tasks, up to `cache` words.
+    """
+    if model.name not in _NUMBERS:
+        _NUMBERS.clear()
+        _NUMBERS[model.name] = Known(model.p.cache)
+
+    def look_up(found: list[bytes]) -> np.ndarray:
         h = hash_words(found)
         order = np.argsort(h)
         out = np.empty_like(h)
         out[order] = model.lookup(h[order])[0]
         return out
 
+    words, lengths = tokens(texts)
+    place, distinct = numbered(words)
+    ids = _NUMBERS[model.name](distinct, look_up)
+    return with_ends(ids[place], lengths, int(look_up([END])[0])), lengths + 1
+
+
+def pairs_of(ids: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """Context * 2^31 + word for every token; a text's first context is the start."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum(lengths) - lengths] = start
+    return before * (1 << 31) + ids
+
+
+def hot_contexts(counts: DataFrame, model: Model) -> dict[int, int]:
+    """Contexts with more successors than a shard has rows, and how many: no more of them than there are shards."""
+    p = model.p
+    often = [model.v + 1]
+    for s in model.words.shards:
+        often += (s["offset"] + np.flatnonzero(read_shard(s["path"])["count"] > p.shard_rows)).tolist()
+    found = counts.where(F.shiftright("key", 31).isin(often)).groupBy(F.shiftright("key", 31).alias("context")).agg(F.count("*").alias("n"))
+    return {r["context"]: r["n"] for r in found.where(F.col("n") > p.shard_rows).collect()}
+
+
+def pair_shards(docs: DataFrame, model: Model, folder: str) -> list[dict]:
+    p = model.p
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(number, p.cache)
         for b in batches:
-            for _, texts in chunks(b):
-                key, n = np.unique(pairs_of(texts, codes(texts), model.v + 1), return_counts=True)
+            for _, texts in runs(b.column("text"), p.run_bytes):
+                key, n = np.unique(pairs_of(*numbers(model, texts), model.v + 1), return_counts=True)
                 yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
 
+    counts = stored(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    rows = counts.count()
+    hot = hot_contexts(counts, model)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
         key, n = (np.concatenate(x) for x in zip(*got))
-        context, word = key >> 31, key & ((1 << 31) - 1)
+        context, word = key >> 31, key & WORD
         own, begin = np.unique(context, return_index=True)
         size = np.diff([*begin, len(key)])
-        total = np.add.reduceat(n, begin)
-        backoff = p.discount * size / total
-        # The words' counts, for the lower order.
-        count = word_counts(model, word)
-        prob = np.log10(np.maximum(n - p.discount, 0) / np.repeat(total, size) + np.repeat(backoff, size) * model.word_prob(count))
+        kinds = np.array([hot.get(c, k) for c, k in zip(own.tolist(), size.tolist())])
+        # A word is a context as often as it occurs, the start as often as there are texts, that is, ends.
+        total = word_counts(model, np.where(own > model.v, model.end, own))
+        backoff = p.discount * kinds / total
+        prob = np.log10(np.maximum(n - p.discount, 0) / np.repeat(total, size) + np.repeat(backoff, size) * model.word_prob(word_counts(model, word)))
         # 256 levels, each the mean of a run of equally many probabilities.
         order = np.argsort(prob, kind="stable")
         level = np.empty(len(prob), dtype=np.uint8)
@@ -367,19 +402,24 @@ def pair_shards(docs: DataFrame, model: Model, folder: str) -> list[dict]:
             "backoff": backoff.astype(np.float32),
         }
         path = write_shard(folder, parts)
-        yield pa.record_batch([pa.array([own[0]]), pa.array([len(key)]), pa.array([int(n.sum())]), pa.array([path])], names=["first", "n", "total", "path"])
+        yield pa.record_batch([pa.array([key[0]]), pa.array([key[-1]]), pa.array([len(key)]), pa.array([int(n.sum())]), pa.array([path])], names=["first", "last", "n", "total", "path"])
 
-    counts = stored(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    shards = max(1, counts.count() // p.shard_rows)
-    # A context's successors stay together: there are at most as many as distinct words.
-    dealt = counts.withColumn("context", F.shiftright("key", 31)).repartitionByRange(shards, "context").sortWithinPartitions("key").select("key", "n")
-    return _shards(dealt, write, "pair-shards")
+    # A context's successors stay together, but for the hot ones: these are cut by their successors.
+    cut = F.when(F.col("context").isin(list(hot)), F.col("key").bitwiseAND(WORD)).otherwise(0) if hot else F.lit(0)
+    dealt = counts.withColumn("context", F.shiftright("key", 31)).withColumn("_cut", cut).repartitionByRange(max(1, rows // p.shard_rows), "context", "_cut").sortWithinPartitions("key")
+    shards = sorted(_shards(dealt.select("key", "n"), write, "pair-shards"), key=lambda s: s["first"])
+    # Pairs below a shard's first belong to it all the same, unless its first context began in the shard before.
+    for before, s in zip([None, *shards], shards):
+        if before is None or before["last"] >> 31 < s["first"] >> 31:
+            s["first"] = s["first"] >> 31 << 31
+    return shards
 
 
 def word_counts(model: Model, ids: np.ndarray) -> np.ndarray:
-    """Counts of words by their numbers."""
+    """Counts of words by their numbers; zero for what the model does not know."""
     out, offsets = np.zeros(len(ids), dtype=np.int64), np.array([s["offset"] for s in model.words.shards])
     where = np.searchsorted(offsets, ids, side="right") - 1
+    where[ids >= model.v] = -1
     for k, s in enumerate(model.words.shards):
         own = where == k
         if own.any():
@@ -391,36 +431,30 @@ def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
     """The model of all given texts."""
     folder = new_folder(docs.sparkSession, "trie")
     words = word_shards(stored(count_words(docs, p), "word-counts"), folder, p)
-    return Model(words, pair_shards(docs, Model(words, [], p), folder), p)
+    return Model(words, pair_shards(docs, Model(words, [], p, folder), folder), p, folder)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of every row with n_tokens, n_known, base_score and score."""
     p, carry = model.p, list(keep)
 
-    def number(found: list[bytes]) -> np.ndarray:
-        h = hash_words(found)
-        order = np.argsort(h)
-        out = np.empty_like(h)
-        ids, counts = model.lookup(h[order])
-        out[order] = ids | (counts << 31)
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(number, p.cache)
         for b in batches:
             n = np.zeros((2, b.num_rows), dtype=np.int64)
             logs = np.zeros((2, b.num_rows))
-            for first, texts in chunks(b):
-                found = codes(texts)
-                ids, counts = found & ((1 << 31) - 1), found >> 31
-                keys, at, back = np.unique(pairs_of(texts, ids, model.v + 1), return_index=True, return_inverse=True)
-                pair = model.pair_logs(keys, counts[at])[back]
-                lengths = np.array([len(t) for t in texts])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            for first, texts in runs(b.column("text"), p.run_bytes):
+                ids, lengths = numbers(model, texts)
+                keys, back = np.unique(pairs_of(ids, lengths, model.v + 1), return_inverse=True)
+                # Counts and logarithms are taken once for each word of the run.
+                each, place = np.unique(keys & WORD, return_inverse=True)
+                counts = word_counts(model, each)
+                plain = np.log10(model.word_prob(counts))[place]
+                counts = counts[place]
+                pair = model.pair_logs(keys, counts)
+                starts = np.cumsum(lengths) - lengths
                 own = slice(first, first + len(texts))
-                n[0, own], n[1, own] = lengths, np.add.reduceat((counts > 0).astype(np.int64), starts)
-                logs[0, own], logs[1, own] = np.add.reduceat(np.log10(model.word_prob(counts)), starts), np.add.reduceat(pair, starts)
+                n[0, own], n[1, own] = lengths, np.add.reduceat((counts > 0)[back].astype(np.int64), starts)
+                logs[0, own], logs[1, own] = np.add.reduceat(plain[back], starts), np.add.reduceat(pair[back], starts)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], *map(pa.array, n), *map(pa.array, logs)], names=[*carry, "n_tokens", "n_known", "base_score", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
