@@ -11,7 +11,7 @@ each; an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -20,108 +20,152 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow_words import numbered, runs, split
 from quillspark.llm.common import ranked, stored
 
-
-#: Words of letters that lower-casing and composition leave one for one, then marks other than apostrophes: the
-#: tokenizer splits such a word into its letters and its marks.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w\\s'\\x00-\\x1f\\x7f-\uffff\U00010000-\U0010ffff]*)")
+#: Words of letters that lower-casing and composition leave one for one, then ASCII marks other than apostrophe and
+#: underscore: the tokenizer splits such a word into its letters and its marks.
+PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-\\^`{-~]*)$"
 
 
 @dataclass(frozen=True)
 class PackParams:
-    """`cache` bounds the words whose ids a worker remembers."""
+    """`cache` bounds the words whose ids a worker remembers, `run_bytes` the text that it handles at once (one text at least)."""
 
     vocabulary: str = ""
     size: int = 4096
     end: int = 1
-    cache: int = 500_000
+    cache: int = 600_000
+    run_bytes: int = 4 << 20
     blocks: int = 256
+    block_rows: int = 100_000
+
+
+class Sequences:
+    """Token ids of strings, end to end in one array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.names = pa.array([], pa.string())
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The place of each name, -1 if it is not here."""
+        return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+
+    def add(self, names: pa.Array, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Append names with the ids of each; gives their places."""
+        first = len(self.size)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.names, self.size, self.ids = pa.concat_arrays([self.names, names]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        return np.arange(first, len(self.size))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the names at these places, end to end, and how many each has."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
 class WordIds:
-    """Token ids of white-space separated words, as little-endian 32-bit numbers; the tokenizer drops white space."""
+    """Token ids of texts by their white-space separated words: the tokenizer drops white space."""
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.parts = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.limit, self.known, self.parts = Tokenizer.from_file(path), limit, Sequences(), Sequences()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Tokenize unknown words: plain ones by their letters and the marks behind them, others by their places."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = words.difference(self.known)
-        plain, other = [], []
-        for w in new:
-            m = PLAIN.fullmatch(s := w.decode())
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
+    def encode(self, names: pa.Array, single: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of strings; `single` says that each is one pre-token, so that pre-token numbers tell them apart."""
+        sizes, ids, strings = [], [], names.to_pylist()
+        # Short joined texts encode fastest.
+        for at in range(0, len(strings), 200):
+            own = strings[at : at + 200]
+            found = self.tokenizer.encode("\n".join(own), add_special_tokens=False)
+            if single:
+                place = np.array(found.word_ids, dtype=np.int64)
             else:
-                other.append((w, s))
-        if len(self.parts) > self.limit:
+                starts = np.cumsum([0] + [len(s) + 1 for s in own])
+                place = np.searchsorted(starts, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right") - 1
+            sizes.append(np.diff(np.searchsorted(place, np.arange(len(own) + 1))))
+            ids.append(np.array(found.ids, dtype="<u4"))
+        return np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, "<u4"), *ids])
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Tokenize unknown words: plain ones by their letters and the marks behind them, others whole."""
+        split_up = pc.extract_regex(words, PLAIN)
+        plain = split_up.is_valid().to_numpy(zero_copy_only=False)
+        own = split_up.filter(pa.array(plain))
+        place, parts = numbered(pa.concat_arrays([pc.utf8_lower(own.field("letters")), own.field("marks")]))
+        if len(self.parts.size) + len(parts) > self.limit:
             self.parts.clear()
-        self.parts.setdefault("", b"")
-        missing = sorted({x for _, a, b in plain for x in (a, b)}.difference(self.parts))
-        # Each part is one pre-token, so pre-token numbers tell the parts' ids apart. Short joined texts encode fastest.
-        for at in range(0, len(missing), 200):
-            own = missing[at : at + 200]
-            found = self.tokenizer.encode("\n".join(own), add_special_tokens=False)
-            self._cut(own, self.parts, found.ids, np.array(found.word_ids, dtype=np.int64))
-        for w, a, b in plain:
-            self.known[w] = self.parts[a] + self.parts[b]
-        for at in range(0, len(other), 200):
-            own = other[at : at + 200]
-            found = self.tokenizer.encode("\n".join(s for _, s in own), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(s) + 1 for _, s in own])
-            place = np.searchsorted(starts, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right") - 1
-            self._cut([w for w, _ in own], self.known, found.ids, place)
-
-    @staticmethod
-    def _cut(names: list, into: dict, ids: list[int], place: np.ndarray) -> None:
-        """File each run of ids under the name at its place."""
-        data = np.array(ids, dtype="<u4").tobytes()
-        cuts = (4 * np.searchsorted(place, np.arange(len(names) + 1))).tolist()
-        for k, name in enumerate(names):
-            into[name] = data[cuts[k] : cuts[k + 1]]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 100):
-            split = [t.split() for t in texts[at : at + 100]]
-            self.learn(set().union(*split))
-            out += [b"".join(map(self.known.__getitem__, w)) for w in split]
+        at = self.parts.find(parts)
+        empty = pc.equal(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False) & (at < 0)
+        at[empty] = self.parts.add(parts.filter(pa.array(empty)), np.zeros(empty.sum(), np.int64), np.zeros(0, "<u4"))
+        new = at < 0
+        missing = parts.filter(pa.array(new))
+        at[new] = self.parts.add(missing, *self.encode(missing, single=True))
+        pairs = at[place].reshape(2, -1).T.ravel()
+        ids, size = self.parts.gather(pairs)
+        out = np.empty(len(words), dtype=np.int64)
+        out[plain] = self.known.add(words.filter(pa.array(plain)), size.reshape(-1, 2).sum(axis=1), ids)
+        other = words.filter(pa.array(~plain))
+        out[~plain] = self.known.add(other, *self.encode(other, single=False))
         return out
 
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, end to end, and how many each has."""
+        words, lengths = split(texts)
+        place, distinct = numbered(words)
+        at = self.known.find(distinct)
+        new = at < 0
+        if len(self.known.size) + new.sum() > self.limit:
+            self.known.clear()
+            new[:] = True
+        if new.any():
+            at[new] = self.learn(distinct.filter(pa.array(new)))
+        ids, size = self.known.gather(at[place])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])])
+
+
+_WORD_IDS: dict[tuple, WordIds] = {}
+
+
+def word_ids(p: PackParams) -> WordIds:
+    """A worker's tokenizer, with the words that it remembers from other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (p.vocabulary, p.cache) not in _WORD_IDS:
+        _WORD_IDS.clear()
+        _WORD_IDS[p.vocabulary, p.cache] = WordIds(p.vocabulary, p.cache)
+    return _WORD_IDS[p.vocabulary, p.cache]
+
 
 def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = WordIds(p.vocabulary, p.cache)
-        end = np.array([p.end], dtype="<u4").tobytes()
+        ids = word_ids(p)
         for b in batches:
-            row, start, length, crc = [], [], [], []
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for k, data in enumerate(ids(texts)):
-                data += end
-                for s in range(0, len(data), 4 * p.size):
-                    part = data[s : s + 4 * p.size]
-                    row.append(k)
-                    start.append(s // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            start = np.array(start, dtype=np.int64)
-            yield pa.record_batch(
-                [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array((start // p.size).astype(np.int32)), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            for first, texts in runs(b.column("text"), p.run_bytes):
+                flat, size = ids(texts)
+                flat, size = np.insert(flat, np.cumsum(size), p.end), size + 1
+                n = -(-size // p.size)
+                row = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                length = np.minimum(size[row] - piece * p.size, p.size)
+                ends = np.cumsum(length)
+                data = memoryview(np.ascontiguousarray(flat)).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip((ends - length).tolist(), ends.tolist())]
+                yield pa.record_batch(
+                    [b.column("doc_id").take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(piece * p.size), pa.array(length), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -270,6 +314,7 @@ def packed(docs: DataFrame, p: PackParams) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     cut = stored(pieces(docs, p), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(p.blocks))
+    # Blocks of at most about `block_rows` pieces, so that a length that many pieces have is numbered by many tasks.
+    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(p.blocks, max(counts.values(), default=0) // p.block_rows)))
     numbered = ranked(cut, ["length"], ["doc_id", "piece"], block).withColumn("rank", F.col("rank").cast("long"))
     return assign(numbered.select(*cut.columns, "rank"), pack(counts, p.size))
