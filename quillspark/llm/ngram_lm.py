@@ -42,9 +42,9 @@ WORD = (1 << 31) - 1
 @dataclass(frozen=True)
 class LmParams:
     discount: float = 0.75
-    shard_rows: int = 2_000_000
-    cache: int = 600_000
-    run_bytes: int = 6 << 20
+    shard_rows: int = 1_000_000
+    cache: int = 400_000
+    run_bytes: int = 4 << 20
 
 
 class EliasFano:

@@ -67,7 +67,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [url_filter.suffix_rule(*r) for r in URL_RULES] + [url_filter.pattern_rule(*p) for p in url_filter.PATTERNS]
+    rules = [url_filter.suffix_rule(*r) for r in URL_RULES] + url_filter.general_rules()
     return url_filter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -77,7 +77,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
 
-_PATTERNS = "\n".join(f"WHEN regexp_matches(where_, '{regex}') THEN '{verdict}'" for verdict, _, regex in sorted(url_filter.PATTERNS, key=lambda p: -len(p[2])))
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
 ORACLES: dict[str, str] = {
@@ -90,13 +89,18 @@ lv(conv_id, turn, level) AS (
 SELECT u.conv_id, u.turn, u.conv_id || ':' || u.turn AS call_id, json_object('prompt', u.text, 'turn', u.turn)::VARCHAR AS arguments,
   u.text IS NOT NULL AS valid, a.text AS result, level, row_number() OVER (PARTITION BY u.conv_id ORDER BY level, u.turn) - 1 AS rank
 FROM u JOIN lv ON u.conv_id = lv.conv_id AND u.turn = lv.turn LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1""",
-    "op9_url_filter": f"""
+    "op9_url_filter": """
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-w AS (SELECT *, host || path AS where_,
-  CASE WHEN regexp_matches(host || path, '^([^/]*[.])?example[.]net/en/') THEN 'example.net/en/' WHEN regexp_matches(host || path, '^([^/]*[.])?example[.]com/de/') THEN 'example.com/de/'
-  WHEN regexp_matches(host || path, '^([^/]*[.])?org/fr/') THEN 'org/fr/' WHEN regexp_matches(host || path, '^([^/]*[.])?net/') THEN 'net/' END AS rule FROM p)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' {_PATTERNS} ELSE 'allow' END AS verdict FROM w""",
+w AS (SELECT *,
+  CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN list_has_any(list_transform(string_split_regex(host, '[^a-z0-9]+'), lambda x: regexp_replace(x, '[0-9]+$', '')), ['casino', 'casinos', 'poker', 'roulette', 'jackpot', 'slots', 'lottery', 'bet', 'bets', 'betting', 'bookmaker',
+    'adult', 'porn', 'xxx', 'sex', 'escort', 'escorts', 'pills', 'viagra', 'cialis', 'spam', 'spammer', 'warez', 'ad', 'ads', 'adserver', 'adservice', 'banner', 'banners', 'doubleclick', 'popunder', 'track', 'tracker', 'trackers', 'tracking']) THEN 'block'
+  WHEN list_has_any(list_transform(list_slice(string_split(lower(path), '/'), 2, NULL), lambda x: regexp_replace(x, '[.][a-z]+$', '')),
+    ['login', 'signin', 'signup', 'logout', 'register', 'cart', 'checkout', 'basket', 'wishlist', 'unsubscribe']) THEN 'block'
+  ELSE 'allow' END AS verdict FROM w""",
     "op10_decontamination": f"""
 WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM dw WHERE len(w) >= 5), b AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM bw WHERE len(w) >= 5),
