@@ -38,9 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a stored table for broadcast if its counted rows are within the bound; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = 100_000, size: Column | None = None, max_bytes: int = 32 << 20) -> DataFrame:
+    """Mark a stored table for broadcast if its counted rows, and the summed sizes of rows that vary in size, are within the bounds.
+
+    Strings and binaries count themselves; `size` adds what else a row holds. Else the join is left to Spark.
+    """
+    own = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    each = add_all([F.lit(8 * len(df.columns)), *own, *([F.coalesce(size, F.lit(0))] if size is not None else [])])
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df
 
 
 def ascii_lower(c: Column) -> Column:

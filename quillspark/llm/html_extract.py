@@ -1,22 +1,24 @@
 """Main text of web pages, by deducing each host's template from equivalence classes of its tokens.
 
-A page's tokens are its elements, told apart by the path of the elements around them, and its runs of text. Spark
-groups the tokens of a host whose occurrence vectors (how often each page has them) are the same; an occurrence
-vector is summed up as support, total and an order-free hash. A class is valid if enough pages support it and it has
-enough tokens; tokens of HTML paths nest, so valid classes form the host's template. Text in the template is
-boilerplate, what remains are slots, and the template's element that holds most slot text (an article, if there is
-one) is where the main text stands. Parts that their elements name as menus, adverts, comments and so on are left out.
-
-Defined results: null and empty html give an empty text; a url without a host shares one template with its like; hosts
-with few pages have no template of text, and their pages go by their own elements; repeated rows give one row each;
-copies of a page are evidence as often as they occur, but a page whose slots would all be template keeps its text; an
-empty table gives no rows. Extra columns are ignored.
+A page's tokens are its elements, told apart by the path of the elements around them; its whole runs of text, told apart
+by their path; and, where a path has one run in a page, the words of that run, told apart by their path and the word
+beside them. Spark groups the tokens of a host whose occurrence vectors (how often each page has them) are the same; an
+occurrence vector is summed up as support, total and two order-free hashes. A class is valid if enough pages support it,
+it has enough tokens, and it nests: the elements around all its tokens belong to the class itself or to one other class,
+its parent in the tree of classes that is the host's template. Runs and words in the template are boilerplate; what
+remains of the main element (an article, if there is one, else the template's element that holds most slot text) are the
+slots, and these are the text. Menus, headers, adverts, comments and so on vary from page to page and are thus slots,
+too: elements of such kinds or names are left out, but never one that stands around the main element.
+
+Defined results: null and empty html give an empty text; markup that never ends is text up to its end; elements nested
+deeper than 512 are read as siblings; a url without a host shares one template with its like; hosts with fewer than
+`min_pages` pages have no template of text; repeated rows give one row each; copies of a page are evidence as often as
+they occur, but a page whose slots would all be template keeps its text; an empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,30 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import small_side, stored
-
-# Kinds of elements in HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-SKIPPED = frozenset("script style noscript template head title nav header footer aside form menu button select option textarea input iframe object embed svg canvas audio video dialog".split())
-MAIN = frozenset("article main".split())
-#: Words of class, id and role that name boilerplate.
-BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
-    "footer form gdpr header masthead menu menubar nav navbar navigation newsletter notice notices popup promo promotion recommended related "
-    "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
-)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b(?P<ra>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
-#: Names such as no-sidebar or has-menu tell of a page's layout, not of what an element holds.
-LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][a-z]+")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|$|=)|display\s*:\s*none", re.I)
+from quillspark.llm.html_tree import INLINE, Node, Page
 
 
 @dataclass(frozen=True)
@@ -63,112 +42,74 @@ class TemplateParams:
     main_share: float = 0.6
 
 
-@dataclass
-class Node:
-    tag: str
-    key: int
-    skipped: bool
-    path: str
-
-
-def names(attributes: str) -> list[str]:
-    if "=" not in attributes:
-        return []
-    return [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(LAYOUT.sub("", (m[2] or m[3] or m[4] or "").lower()))]
-
-
-def key_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def walk(source: str) -> Iterator[tuple[str, str, tuple[Node, ...]]]:
-    """("open", tag, stack), ("text", decoded characters, stack) and ("break", "", stack) in page order."""
-    stack: list[Node] = [Node("", 0, False, "")]
-    at = 0
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            yield "text", entities.unescape(source[at : m.start()]), tuple(stack)
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if m["raw"]:
-            yield "break", "", tuple(stack)
-        if not tag:
-            continue
-        if tag not in INLINE:
-            yield "break", "", tuple(stack)
-        if m["close"]:
-            open_at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if open_at:
-                del stack[open_at:]
-            continue
-        if tag not in INLINE and tag != "br":
-            # A new block ends an open paragraph, and an item ends its predecessor.
-            ends = {tag} if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else {"p"}
-            open_at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ends), 0)
-            if open_at and all(n.tag in INLINE or n.tag in ends for n in stack[open_at:]):
-                del stack[open_at:]
-        own = names(m["attrs"])
-        label = tag + "".join(f".{w}" for w in sorted(set(own)))
-        path = f"{stack[-1].path}/{label}" if tag not in INLINE and tag != "p" else stack[-1].path
-        bad = tag in SKIPPED or (tag not in ("html", "body") and (not BOILERPLATE.isdisjoint(own) or HIDDEN.search(m["attrs"]) is not None))
-        node = Node(tag, key_of(path), stack[-1].skipped or bad, path)
-        if tag in VOID or m["attrs"].endswith("/") and tag in INLINE:
-            continue
-        stack.append(node)
-        yield "open", tag, tuple(stack)
-    if at < len(source):
-        yield "text", entities.unescape(source[at:]), tuple(stack)
+def key_of(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed)
 
 
-def blocks(source: str) -> list[tuple[str, tuple[Node, ...]]]:
-    """The page's text blocks outside named boilerplate, with the elements around their first characters."""
-    out, now, where = [], [], ()
+def signed(key: int) -> int:
+    return key - (1 << 63)
 
-    def flush():
-        text = " ".join("".join(now).split())
-        if text:
-            out.append((text, where))
 
-    for kind, value, stack in walk(source):
-        if kind == "text":
-            if not stack[-1].skipped:
-                if not now or not "".join(now).strip():
-                    where = stack
-                now.append(value)
-        elif kind == "break" or stack[-1].skipped:
-            flush()
-            now = []
-    flush()
-    return out
+def word_keys(text: str, node: Node) -> list[int]:
+    """A key for each pair of neighbouring words of a run, its ends being neighbours too, by its path."""
+    words = text.split(" ")
+    return [key_of(f"{a} {b}", node.key) for a, b in zip(["", *words], [*words, ""])]
 
 
-def text_key(text: str, stack: tuple[Node, ...]) -> int:
-    return key_of(f"{stack[-1].path}={text}")
+def run_key(text: str, node: Node) -> int:
+    return key_of(f"\n{text}", node.key)
 
 
-def tokens(source: str) -> list[tuple[int, bool, bool, int, int, int]]:
-    """(key, is_text, is_main, depth, count, characters of slot text inside) of a page's tokens."""
+def tokens(source: str) -> list[tuple[int, int, bool, bool, int, int, int]]:
+    """(key, key of the element around, is_text, is_main, depth, count, characters of slot text inside) of a page's tokens."""
+    page = Page(source)
     count, info, inside = Counter(), {}, Counter()
-    for kind, tag, stack in walk(source):
-        if kind == "open" and tag not in INLINE and tag != "p":
-            node = stack[-1]
+    mains = set(page.main_nodes())
+    kept = page.kept()
+    own = Counter(node.key for _, node in page.blocks)
+    slots = dict.fromkeys(page.nodes, 0)
+    for text, node in kept:
+        slots[node] += len(text)
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            slots[node.parent] += slots[node]
+        if node.parent is not None and node.tag not in INLINE and node.tag != "p":
             count[node.key] += 1
-            info[node.key] = (False, tag in MAIN and not node.skipped, len(stack))
-    for text, stack in blocks(source):
-        k = text_key(text, stack)
-        count[k] += 1
-        info[k] = (True, False, len(stack))
-        for key in {n.key for n in stack[1:]}:
-            inside[key] += len(text)
+            inside[node.key] += slots[node]
+            info[node.key] = (node.parent.key, False, node in mains, node.depth)
+    for text, node in page.blocks:
+        keys = [run_key(text, node)] + (word_keys(text, node) if own[node.key] == 1 else [])
+        for k in keys:
+            count[k] += 1
+            info[k] = (node.key, True, False, node.depth)
     return [(k, *info[k], n, inside[k]) for k, n in count.items()]
 
 
-def main_text(source: str, main_key: int | None, template: frozenset[int]) -> str:
+def main_text(source: str, main_key: int | None = None, template: frozenset[int] = frozenset()) -> str:
     """The slots of a page's main element, joined; without one, of its article, else of the whole page."""
-    found = blocks(source)
-    chosen = [b for b in found if main_key is not None and any(n.key == main_key for n in b[1])]
-    chosen = chosen or [b for b in found if any(n.tag in MAIN for n in b[1])] or found
-    slots = [t for t, stack in chosen if text_key(t, stack) not in template]
+    page = Page(source)
+    found = page.kept()
+
+    def within(ok) -> list[tuple[str, Node]]:
+        inside: dict[Node, bool] = {}
+        for node in page.nodes:
+            inside[node] = ok(node) or node.parent is not None and inside[node.parent]
+        return [b for b in found if inside[b[1]]]
+
+    chosen = within(lambda x: x.parent is not None and x.key == main_key) if main_key is not None else []
+    mains = set(page.main_nodes())
+    chosen = chosen or (within(mains.__contains__) if mains else []) or found
+    if not template:
+        return " ".join(t for t, _ in chosen)
+    own, slots = Counter(node.key for _, node in page.blocks), []
+    for text, node in chosen:
+        if run_key(text, node) in template:
+            continue
+        if own[node.key] == 1:
+            known = [k in template for k in word_keys(text, node)]
+            text = " ".join(w for w, a, b in zip(text.split(" "), known, known[1:]) if not (a or b))
+        if text:
+            slots.append(text)
     return " ".join(slots or [t for t, _ in chosen])
 
 
@@ -176,24 +117,37 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
-    """host, main_key and text_keys (the template's texts) of every host."""
+NAMES = ("host", "page", "key", "around", "is_text", "is_main", "depth", "n", "inside")
+KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """The tokens of every page with its host and a hash of its html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names_, kinds = ("host", "page", "key", "is_text", "is_main", "depth", "n", "inside"), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
             rows = []
-            for h, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                page = key_of(source or "")
-                rows += [(h, page, *t) for t in tokens(source or "")]
-            columns = list(zip(*rows)) or [[]] * len(names_)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names_)
-
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, key long, is_text boolean, is_main boolean, depth int, n long, inside long")
+            for h, source in zip(b.column("host"), b.column("html")):
+                source = source.as_py() or ""
+                page = signed(key_of(source))
+                rows += [(h.as_py(), page, signed(k), signed(around), *rest) for k, around, *rest in tokens(source)]
+                if len(rows) > 50_000:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+                    rows = []
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+    schema = "host string, page long, key long, around long, is_text boolean, is_main boolean, depth int, n long, inside long"
+    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, schema)
+
+
+def classes(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
+    """The tokens of every host's valid classes: host, key, class (a hash of its vector), parent (the class around, null at the top) and what the token is."""
     # Occurrence vectors, summed up: the sum over pages of a hash of page and count, beside an exclusive or of another.
-    vectors = seen.groupBy("host", "key").agg(
+    vectors = page_tokens(pages).groupBy("host", "key").agg(
+        F.min("around").alias("around"),
         F.first("is_text").alias("is_text"),
-        F.first("is_main").alias("is_main"),
+        F.max("is_main").alias("is_main"),
         F.min("depth").alias("depth"),
         F.count("*").alias("support"),
         F.sum("n").alias("total"),
@@ -205,21 +159,39 @@ def templates(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFra
     hosts = vectors.groupBy(F.col("host").alias("_h")).agg(F.max("support").alias("pages"), F.max("inside").alias("most"))
     hosts = small_side(stored(hosts, "template-hosts"))
     # What too few pages hold can't be template; most tokens are such, so the classes are formed from few rows.
-    common = vectors.join(hosts, F.col("host") == F.col("_h")).where((F.col("pages") >= p.min_pages) & (F.col("support") >= p.support * F.col("pages")) & (F.col("total") == F.col("support")))
-    common = stored(common.drop("_h"), "common-tokens")
-    vector = ["host", "support", "total", "mixed", "vector"]
-    valid = common.join(common.groupBy(*vector).agg(F.count("*").alias("tokens")).where(F.col("tokens") >= p.min_tokens), vector)
-    main = F.max_by("key", F.when(~F.col("is_text") & (F.col("is_main") | (F.col("inside") >= p.main_share * F.col("most"))), F.struct("is_main", "depth", "inside", "key")))
+    common = vectors.join(hosts, F.col("host") == F.col("_h")).where((F.col("pages") >= p.min_pages) & (F.col("support") >= p.support * F.col("pages")))
+    common = stored(common.select("*", F.xxhash64("support", "total", "mixed", "vector").alias("class")).drop("_h"), "common-tokens")
+    # Whatever holds a common token is common, so the element around is among these rows (but for the root).
+    outer = common.where("not is_text").select(F.col("host").alias("_h"), F.col("key").alias("_k"), F.col("class").alias("outer"))
+    nested = common.join(outer, (F.col("host") == F.col("_h")) & (F.col("around") == F.col("_k")), "left")
+    other = F.when(F.col("outer") != F.col("class"), F.col("outer"))
+    sound = nested.groupBy(F.col("host").alias("_h"), F.col("class").alias("_c")).agg(F.count("*").alias("tokens"), F.min(other).alias("parent"), F.max(other).alias("_last"))
+    sound = sound.where((F.col("tokens") >= p.min_tokens) & F.col("parent").eqNullSafe(F.col("_last"))).drop("_last")
+    return common.join(sound, (F.col("host") == F.col("_h")) & (F.col("class") == F.col("_c"))).drop("_h", "_c")
+
+
+def templates(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
+    """host, main_key and text_keys (the template's runs and words) of every host."""
+    valid = classes(pages, p)
+    once = F.col("total") == F.col("support")
+    main = F.max_by("key", F.when(~F.col("is_text") & once & (F.col("is_main") | (F.col("inside") >= p.main_share * F.col("most"))), F.struct("is_main", "depth", "inside", "key")))
     return valid.groupBy("host").agg(main.alias("main_key"), F.collect_set(F.when(F.col("is_text"), F.col("key"))).alias("text_keys"))
 
 
 def extract(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    found = small_side(stored(templates(pages, p), "templates").withColumnRenamed("host", "_host"), 20_000)
+    # A template has no more keys than a page has tokens over `support`.
+    found = small_side(stored(templates(pages, p), "templates").withColumnRenamed("host", "_host"), 20_000, F.size("text_keys") * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(s or "", k, frozenset(t or ())) for s, k, t in zip(*(b.column(c).to_pylist() for c in ("html", "main_key", "text_keys")))]
+            texts, before, keys = [], None, frozenset()
+            for source, main, words in zip(*(b.column(c) for c in ("html", "main_key", "text_keys"))):
+                words = tuple(words.as_py() or ())
+                if words != before:
+                    before, keys = words, frozenset(k + (1 << 63) for k in words)
+                main = main.as_py()
+                texts.append(main_text(source.as_py() or "", None if main is None else main + (1 << 63), keys))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("_h")).join(found, F.col("_h") == F.col("_host"), "left")

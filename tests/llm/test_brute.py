@@ -299,12 +299,56 @@ def test_html_template(spark):
     rows, want = [], {}
     for i in range(30):
         body = [prose(r, 30), prose(r, 20)]
-        rows.append((i, f"http://h.example/{i}", f"<html><head><title>t</title><style>p{{}}</style></head><body><header>Top</header><div class='menu'>{prose(r, 4)}</div><div class=story><p>All rights reserved.</p><p>{body[0]}</p>\n<p>{body[1]} &lt;x&gt;</p><div id='comments'>{prose(r, 9)}</div></div><aside>{prose(r, 9)}</aside><script>x='<p>no</p>'</script></body></html>"))
-        want[i] = f"{body[0]} {body[1]} <x>"
+        rows.append((i, f"http://h.example/{i}", f"<html><head><title>t</title><style>p{{}}</style></head><body><header>Top</header><div class='menu'>{prose(r, 4)}</div><div class=story><div class=by>Posted on {i} by staff</div><p>All rights reserved.</p><p>{body[0]}</p>\n<p>{body[1]} &lt;x&gt;</p><div id='comments'>{prose(r, 9)}</div></div><aside>{prose(r, 9)}</aside><script>x='<p>no</p>'</script></body></html>"))
+        want[i] = f"{i} {body[0]} {body[1]} <x>"
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x["page_id"]: x["text"] for x in html_extract.extract(pages).collect()} == want
 
 
+def brute_classes(sources, p):
+    """Equivalence classes from whole occurrence vectors: {frozenset of keys: class around or None}."""
+    seen = [{k: (around, is_text, n) for k, around, is_text, _, _, n, _ in html_extract.tokens(s)} for s in sources]
+    vectors = defaultdict(list)
+    for k in set().union(*seen):
+        v = tuple(page[k][2] if k in page else 0 for page in seen)
+        if sum(map(bool, v)) >= p.support * len(sources):
+            vectors[v].append(k)
+    own = {k: v for v, keys in vectors.items() for k in keys}
+    around = {k: min(page[k][0] for page in seen if k in page) for k in own}
+    out = {}
+    for v, keys in vectors.items():
+        outer = {own.get(around[k]) for k in keys} - {v, None}
+        if len(keys) >= p.min_tokens and len(outer) <= 1:
+            out[frozenset(keys)] = frozenset(vectors[outer.pop()]) if outer else None
+    return out
+
+
+def test_html_classes(spark):
+    """The deduced classes and their nesting are those of whole occurrence vectors; their text leaves the result."""
+    r, p = random.Random(12), html_extract.TemplateParams()
+    rows = []
+    for h in range(3):
+        for i in range(12):
+            items = "".join(f"<li class=e><b>Item</b> {prose(r, 2)}</li>" for _ in range(r.randint(1, 4)))
+            foot = f"<div class=f>\u00a9 host {h} \u00b7 {prose(r, 3)}</div>"
+            rows.append((100 * h + i, f"http://h{h}.x/{i}", f"<body><div class=t><h1>{prose(r, 4)} | Site {h}</h1><p>Share this</p><ul>{items}</ul><p>{prose(r, 40)}</p>{foot if i or h else ''}</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = defaultdict(lambda: (set(), set()))
+    for x in html_extract.classes(pages, p).collect():
+        got[x["host"], x["class"]][0].add(x["key"] + (1 << 63))
+        got[x["host"], x["class"]][1].add(x["parent"])
+    for h in range(3):
+        want = brute_classes([s for i, _, s in rows if i // 100 == h], p)
+        own = {c: keys for (host, c), (keys, _) in got.items() if host == f"h{h}.x"}
+        assert {frozenset(k) for k in own.values()} == set(want) and want
+        for c, keys in own.items():
+            (parent,) = got[f"h{h}.x", c][1]
+            outer = want[frozenset(keys)]
+            assert (parent is None) == (outer is None) and (outer is None or outer not in want or frozenset(own[parent]) == outer)
+    for x in html_extract.extract(pages).collect():
+        assert "Share this" not in x["text"] and "| Site" not in x["text"] and ("\u00a9 host" not in x["text"] or x["page_id"] == 0)
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs, items = corpus
     docs = docs + [(5000, "bad *** " * 40)]

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, extra clashing columns and empty tables."""
 
+import time
+
 import pytest
 import public_tokenizers
 
@@ -87,11 +89,33 @@ def test_pages(spark):
 
 
 def test_markup():
-    page = """<body class="has-sidebar"><div class="no-menu wrap"><main><h1>A&nbsp;b</h1><p>c<!-- no --><i>d</i> e<br>f <div hidden>no</div><section class="post-comments">no</section>
-    <ul><li>g<li>h</ul><form>no</form><table><tr><td>i</td><td>j</td></tr></table><div style="display: none">no</div><p>k &lt;l&gt; &copy x > y</main><footer>no</footer></div></body>"""
-    assert html_extract.main_text(page, None, frozenset()) == "A b cd e f g h i j k <l> \u00a9 x > y"
-    assert html_extract.main_text("<p>open <b>never closed <a href='x>y'>z", None, frozenset()) == "open never closed z"
-    assert html_extract.main_text("<script>if (a<b) '</p>'</script>t <style>p{}</style><!-- open", None, frozenset()) == "t"
+    page = """<body class="has-sidebar"><div class="no-menu wrap"><main><h1>A&nbsp;b</h1><p>c<!-- no --><i>d</i> e<br>f <div hidden>yes</div><section class="post-comments">no</section>
+    <ul><li>g<li>h</ul><form>no</form><table><tr><td>i</td><td>j</td></tr></table><div class="ad">no</div><p title="class=ad">k &lt;l&gt; &copy x > y</main><footer>no</footer></div></body>"""
+    assert html_extract.main_text(page) == "A b cd e f yes g h i j k <l> \u00a9 x > y"
+    assert html_extract.main_text("<p>open <b>never closed <a href='x>y'>z") == "open never closed z"
+    assert html_extract.main_text("<script>if (a<b) '</p>'</script>t <style>p{}</style><!-- open") == "t"
+    assert html_extract.main_text("<p>5 < 6 <3 and </ x> <unended") == "5 < 6 <3 and <unended"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<div class="two-column sidebar-left"><nav>no</nav><article><p>yes</p></article></div>', '<article class="post ad-free"><p>yes</p></article>', '<article id="share-price-news">yes</article>', '<article><p class="social-history">yes</p></article>',
+        '<article><p class="alert">yes</p></article>', '<article><p title="the hidden truth">yes</p></article>', '<article><div class="x hidden lg:block">yes</div></article>', '<form id="page"><div class="search-results"><article>yes</article></div></form>',
+        '<main><p>yes</p><div class="comments"><article class="comment">no, a longer text than the article</article></div></main>', '<article>yes</article><aside><article>no, a longer text</article></aside>', '<div class="sidebar">yes</div>',
+        '<div id="related-posts">no</div><p>yes</p>', '<section class="comments-area"><article>no</article></section><article>yes</article>',
+    ],
+)
+def test_names_empty_no_article(html):
+    assert html_extract.main_text(html) == "yes"
+
+
+@pytest.mark.parametrize("html", ["<a " * 100_000, "<div>" * 100_000 + "x", "<a '>' " * 50_000 + '"', "<b><li></li>" * 50_000, "<p><b>" * 50_000, "</p>" * 100_000, "<!--" * 100_000, "&amp" * 100_000, '<i class="' * 50_000, "<div a    b>" * 30_000, "<script>" * 50_000])
+def test_malformed_pages_take_linear_time(html):
+    began = time.process_time()
+    html_extract.main_text(html)
+    html_extract.tokens(html)
+    assert time.process_time() - began < 8
 
 
 def test_tool_calls(spark):
