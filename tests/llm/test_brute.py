@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import bilstm_crf, decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash
+from quillspark.llm import bilstm_crf, decontam, html_extract, ngram_lm, packing, pii, pii_forms, quality, secrets, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYLLABLES = ["ka", "ro", "mi", "ten", "sul", "o", "vi", "en", "dra", "lo"]
@@ -231,27 +232,49 @@ def test_pii(spark):
     assert not any("example.com" in t or "4111111111111111" in t for t in clean)
 
 
-def test_bilstm_learns_held_out_spans():
-    """Trained on some numbers and addresses, the model finds others."""
+def planted(r, k):
+    """Texts with one disguised span each that no base pattern finds, and texts with numbers that are no personal data."""
+    make = {
+        "email": lambda: f"{prose(r, 1).strip('.,')}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com", "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
+        "card": lambda: next(x for x in (str(r.randint(4 * 10**15, 5 * 10**15)) for _ in range(10**6)) if pii_forms.luhn(x)), "phone": lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}",
+    }
+    rows, spans = [], []
+    for _ in range(k):
+        kind, head, tail = r.choice(list(make)), prose(r, r.randint(0, 30)), prose(r, r.randint(0, 30))
+        form = pii_forms.disguise(kind, make[kind](), r)
+        text = f"{head} {form} {tail}"
+        at = len(head) + 1
+        if not any(pii.base_spans(text).values()):
+            rows.append(text)
+            spans.append({(kind, at, at + len(form))})
+        rows.append(f"{head} {pii_forms.innocent(r)} {tail}")
+        spans.append(None)
+    return make, rows, spans
+
+
+def test_model_finds_disguised_spans_of_other_texts(spark):
+    """Trained on texts with plain spans, the model finds disguised ones in others: precision and recall on whole texts."""
     r = random.Random(4)
-    p = pii.PiiParams()
-
-    def sample(k):
-        out = []
-        for _ in range(k):
-            t = f"{prose(r, 3)} {'.'.join(str(r.randint(1, 255)) for _ in range(4))} {prose(r, 4)}"
-            m = re.search(r"[0-9.]{7,}(?<!\.)", t)
-            out.append((t[: p.window], m.span()))
-        return [x for x in out if x[1][1] < p.window]
-
-    train, test = sample(300), sample(60)
-    codes, tags = np.zeros((len(train), p.window), dtype=np.int64), np.zeros((len(train), p.window), dtype=np.int64)
-    for k, (t, s) in enumerate(train):
-        codes[k, : len(t)] = bilstm_crf.encode(t)
-        tags[k, : len(t)] = pii._tags(len(t), {"email": [], "ip": [s], "card": [], "phone": []}, 0)
-    model = bilstm_crf.train(codes, tags, np.array([len(t) for t, _ in train]), 9, epochs=10)
-    found = pii.decode(model, [t for t, _ in test], p)
-    assert sum(("ip", *s) in {x[:3] for x in f} for f, (_, s) in zip(found, test)) >= 0.9 * len(test)
+    make, rows, spans = planted(r, 400)
+    train = [(i, f"{prose(r, 20)} {make[r.choice(list(make))]()} {prose(r, 20)} version {r.randint(1, 9)}.0 {prose(r, 3)}") for i in range(300)]
+    model = pii.train(frame(spark, train))
+    right = added = wanted = alone = 0
+    for (own, found), want in zip(pii.find(rows, model, pii.PiiParams()), spans):
+        base = {(k, a, b) for k in own for a, b in own[k]}
+        new = set(found) - base
+        if want is None:
+            alone += not new
+        else:
+            right, added, wanted = right + len(new & want), added + len(new), wanted + 1
+    print(f"precision {right / added:.3f} recall {right / wanted:.3f} clean alone {alone / spans.count(None):.3f} certainty {model['sure']:.3f} of {wanted}")
+    assert right >= 0.9 * added and right >= 0.75 * wanted and alone >= 0.97 * spans.count(None)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 500_000, "+1(" * 300_000, "a@" * 500_000, "a" * 1_000_000 + "@" + "b" * 1_000_000, "1 " * 500_000])
+def test_base_patterns_take_linear_time(text):
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 5
 
 
 def test_reconcile_keeps_the_best_set():
