@@ -70,18 +70,27 @@ def add_all(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], block: Column) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], block: Column, finer: Column | None = None, most: int = 4096) -> DataFrame:
     """Add `rank` (from 0) of each row within its group without gathering a group in one task.
 
     `block` must not decrease along `order` within a group: rows are numbered inside (group, block), and the
-    blocks' counts, far fewer than the rows, are summed up to each block's first rank.
+    blocks' counts, far fewer than the rows, are summed up to each block's first rank. A block of more than `most` rows
+    is cut up by `finer`, which must not decrease along `order` within a block.
     """
     from pyspark.sql import Window
 
-    df = df.withColumn("_block", block)
-    counts = df.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = df.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order)) - 1)
-    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]) & F.col("_block").eqNullSafe(F.col("_b"))
-    return inside.join(starts, on).withColumn("rank", F.col("_start") + F.col("_i")).drop("_block", "_b", "_n", "_i", "_start", *[f"_g{i}" for i in range(len(group))])
+    keys = [f"_g{i}" for i in range(len(group))]
+    named = [F.col(g).alias(k) for g, k in zip(group, keys)]
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys)]
+    df, inner = df.withColumn("_block", block), []
+    if finer is not None:
+        big = df.groupBy(*named, F.col("_block").alias("_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        met = df.join(big.hint("shuffle_hash"), reduce(lambda a, b: a & b, same) & F.col("_block").eqNullSafe(F.col("_b")), "left")
+        df = stored(met.withColumn("_finer", F.when(F.col("_n").isNotNull(), finer)).drop(*keys, "_b", "_n"), "blocks")
+        inner = ["_finer"]
+    counts = df.groupBy(*named, F.col("_block").alias("_b"), *[F.col(c).alias("_f") for c in inner]).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b", *["_f" for _ in inner]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").hint("shuffle_hash")
+    inside = df.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_block", *inner).orderBy(*order)) - 1)
+    on = reduce(lambda a, b: a & b, [*same, F.col("_block").eqNullSafe(F.col("_b")), *[F.col(c).eqNullSafe(F.col("_f")) for c in inner]])
+    return inside.join(starts, on).withColumn("rank", F.col("_start") + F.col("_i")).drop("_block", "_finer", "_b", "_f", "_i", "_start", *keys)

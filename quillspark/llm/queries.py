@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
-from quillspark.llm.common import table
+from quillspark.llm.common import stored, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,20 +15,30 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's turn is read as a call of the tool `reply`, the assistant's next turn as its result.
+    """Every turn of every conversation as a call or a result.
 
-    A call's parent is the user's turn before it.
+    A system turn is read as a call of the tool `configure`, a user's turn as a call of `reply`. A call's parents are the
+    latest user turn and the latest system turn before it; any other turn is a result for the latest call before it. Of
+    several results the first counts; the others, and those before any call, follow as rows without arguments.
     """
-    turns = table(spark, sf_dir, "conversations")
-    call_id = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    calls = turns.where("role = 'user'").select(
-        "conv_id", "turn", F.lit(0).alias("pos"), call_id(0).alias("call_id"), F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"), call_id(2).alias("parent_id"),
-    )
-    results = turns.where("role = 'assistant'").select(call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    schemas = spark.createDataFrame([("reply", ["prompt", "turn"], {"prompt": "string", "turn": "integer"})], "name string, required array<string>, types map<string,string>")
-    out = tool_calls.link(calls, results, schemas)
-    return out.select("conv_id", "turn", "call_id", "arguments", (F.size("errors") == 0).alias("valid"), "result", "level", "rank")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    for role, name in (("user", "_user"), ("system", "_system")):
+        turns = tool_calls.with_earlier(turns, F.when(F.col("role") == role, F.col("turn")), name)
+    turns = stored(turns, "turns")
+    id_of = lambda turn: F.when(F.col(turn).isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), F.col(turn).cast("string")))
+    user = F.col("role") == "user"
+    calls = turns.where("role in ('user', 'system')").select(
+        "conv_id", "turn", F.lit(0).alias("pos"), id_of("turn").alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"),
+        F.when(user, F.to_json(F.struct("turn", F.col("text").alias("prompt")))).otherwise(F.to_json(F.struct(F.col("text").alias("rules")))).alias("arguments"),
+        F.array_compact(F.array(id_of("_user"), id_of("_system"))).alias("parent_ids"),
+    )
+    results = turns.where("role is null or role not in ('user', 'system')").withColumn("_call", F.greatest("_user", "_system")).select("conv_id", id_of("_call").alias("call_id"), "turn", F.col("text").alias("content"))
+    string, long = "string", "integer"
+    schemas = spark.createDataFrame([("reply", ["prompt", "turn"], {"prompt": string, "turn": long}), ("configure", ["rules"], {"rules": string})], "name string, required array<string>, types map<string,string>")
+    linked = tool_calls.serialised(tool_calls.link(calls, results, schemas)).withColumn("valid", F.size("errors") == 0)
+    lost = tool_calls.unlinked(calls, results).withColumnRenamed("content", "result")
+    columns = ["conv_id", "turn", "call_id", "name", "arguments", "valid", "result", "level", "rank", "json"]
+    return linked.select(*columns).unionByName(lost.select("conv_id", "turn", "call_id", "result"), allowMissingColumns=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +91,23 @@ _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGH
 _SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
 ORACLES: dict[str, str] = {
     "op2_tool_calls": """
-WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations),
+p AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER w AS pu, max(CASE WHEN role = 'system' THEN turn END) OVER w AS ps
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT * FROM p WHERE role IN ('user', 'system')),
+r AS (SELECT *, greatest(pu, ps) AS own, row_number() OVER (PARTITION BY conv_id, greatest(pu, ps) ORDER BY turn, text) AS n FROM p WHERE role NOT IN ('user', 'system')),
+e AS (SELECT conv_id, turn, unnest([pu, ps]) AS above FROM c),
 lv(conv_id, turn, level) AS (
-  SELECT conv_id, turn, 0::BIGINT FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
-  UNION ALL SELECT u.conv_id, u.turn, level + 1 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2)
-SELECT u.conv_id, u.turn, u.conv_id || ':' || u.turn AS call_id, json_object('prompt', u.text, 'turn', u.turn)::VARCHAR AS arguments,
-  u.text IS NOT NULL AS valid, a.text AS result, level, row_number() OVER (PARTITION BY u.conv_id ORDER BY level, u.turn) - 1 AS rank
-FROM u JOIN lv ON u.conv_id = lv.conv_id AND u.turn = lv.turn LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1""",
+  SELECT conv_id, turn, 0::BIGINT FROM c
+  UNION SELECT e.conv_id, e.turn, level + 1 FROM lv JOIN e ON e.conv_id = lv.conv_id AND e.above = lv.turn),
+l AS (SELECT conv_id, turn, max(level) AS level FROM lv GROUP BY 1, 2),
+o AS (SELECT c.conv_id, c.turn, c.conv_id || ':' || c.turn AS call_id, CASE c.role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name,
+  CASE c.role WHEN 'user' THEN json_object('prompt', c.text, 'turn', c.turn) ELSE json_object('rules', c.text) END::VARCHAR AS arguments, c.text IS NOT NULL AS valid, r.text AS result, level,
+  row_number() OVER (PARTITION BY c.conv_id ORDER BY level, c.turn) - 1 AS rank
+  FROM c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.own = c.turn AND r.n = 1)
+SELECT *, CASE WHEN result IS NULL THEN json_object('arguments', arguments, 'id', call_id, 'level', level, 'name', name, 'rank', rank)
+  ELSE json_object('arguments', arguments, 'id', call_id, 'level', level, 'name', name, 'rank', rank, 'result', result) END::VARCHAR AS json FROM o
+UNION ALL SELECT conv_id, turn, conv_id || ':' || own, NULL, NULL, NULL, text, NULL, NULL, NULL FROM r WHERE n > 1 OR own IS NULL""",
     "op9_url_filter": """
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),

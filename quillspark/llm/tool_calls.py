@@ -1,34 +1,50 @@
 """Chat formatting: tool calls are linked to their results, ordered, validated and written as canonical JSON.
 
-Calls and results meet in a hash join on their identifier. A call may name another as its parent; levels, the number
-of calls that must come before, come from pointer doubling, so a chain of n calls takes log n joins whatever the
-conversation's length. Calls are numbered by level, then turn, without gathering a conversation in one task.
-Arguments are parsed as VARIANT, whose JSON form has sorted keys and no white space, and tested against the schemas.
-
-Defined results: calls without an identifier stay unlinked; of calls with one identifier the earliest gets the results;
-of several results the earliest counts; arguments that aren't a JSON object are invalid and have no canonical form;
-calls on or behind a cycle of parents have no level and come last; a parent that isn't there counts as none; empty
-tables give no rows. Extra columns are ignored.
+Calls and results meet in a hash join on their identifier. A call may name several others as its parents; its level is
+the largest number of calls on any way up. Each call first follows its latest parent; pointer doubling along these
+gives levels, a chain of n calls taking log n joins; calls that another parent would put deeper follow that one, until
+none does. Calls are numbered by level, then turn, without gathering a conversation in one task. Arguments are parsed
+as VARIANT, whose JSON form has sorted keys and no white space, and tested against the schemas.
+
+Defined results: calls without an identifier stay unlinked; of calls with one identifier the earliest gets the result
+and names the parents; of several results the earliest counts, the others are `unlinked`, as are those of no call;
+arguments that aren't a JSON object are invalid and have no canonical form; calls on or behind a cycle of parents have
+no level and come last; a parent that isn't there counts as none; empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ranked, small_side, stored
 
-CALL = "array<struct<id:string,name:string,arguments:string,parent:string>>"
+CALL = "array<struct<id:string,name:string,arguments:string,parents:array<string>>>"
 
 
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of messages (conv_id, turn, role, text) whose text is JSON with tool_calls or tool_call_id."""
     body = messages.select("conv_id", "turn", "role", F.from_json("text", f"tool_calls {CALL}, tool_call_id string, content string").alias("m"))
-    calls = body.select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c")).select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.parent").alias("parent_id"))
-    results = body.where("m.tool_call_id is not null").select(F.col("m.tool_call_id").alias("call_id"), "turn", F.col("m.content").alias("content"))
+    calls = body.select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c")).select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.parents").alias("parent_ids"))
+    results = body.where("m.tool_call_id is not null").select("conv_id", F.col("m.tool_call_id").alias("call_id"), "turn", F.col("m.content").alias("content"))
     return calls, results
 
 
+def with_earlier(df: DataFrame, value: Column, name: str, block: int = 256) -> DataFrame:
+    """Add `name`: the largest value of the conversation's earlier turns (null if there is none).
+
+    Turns are dealt in blocks, so that a long conversation meets in no task: inside a block a window looks back, and of
+    whole blocks before it the largest values, one for each block, are carried on.
+    """
+    df = df.withColumns({"_block": F.floor(F.col("turn") / block), "_value": value})
+    tops = df.groupBy(F.col("conv_id").alias("_c"), F.col("_block").alias("_b")).agg(F.max("_value").alias("_top"))
+    before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_c", "_b", F.max("_top").over(before).alias("_earlier")).hint("shuffle_hash")
+    inside = Window.partitionBy("conv_id", "_block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    joined = df.join(tops, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_block").eqNullSafe(F.col("_b")), "left")
+    return joined.withColumn(name, F.coalesce(F.max("_value").over(inside), F.col("_earlier"))).drop("_block", "_value", "_c", "_b", "_earlier")
+
+
 def canonical(c: Column) -> Column:
     """JSON with sorted keys and no white space; null if it doesn't parse."""
     return F.to_json(F.try_parse_json(c))
@@ -68,41 +84,79 @@ def problems(schemas: DataFrame, calls: DataFrame) -> DataFrame:
     return typed.withColumn("errors", errors).drop("_fields", "_kinds", "_name", "required", "types")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """call_id and level (the number of calls above it along parents; null on or behind a cycle) of distinct calls."""
-    ids = calls.where("call_id is not null").groupBy("call_id").agg(F.min_by("parent_id", F.struct("turn", "pos")).alias("parent_id"))
-    ids = stored(ids, "call-ids")
-    here = ids.select(F.col("call_id").alias("_p"))
-    now = ids.join(here, F.col("parent_id") == F.col("_p"), "left").select("call_id", F.col("_p").alias("above"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("long").alias("level"))
-    now, total = stored(now, "levels"), ids.count()
+def climbed(now: DataFrame, rounds: int) -> DataFrame:
+    """call_id and level of calls that each follow at most one other (`above`); null on or behind a cycle."""
+    now = stored(now.select("call_id", "above", F.when(F.col("above").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
     # After k rounds a pointer skips 2^k calls; what then still points on after passing all calls is on a cycle.
-    for _ in range(total.bit_length() + 1):
+    for _ in range(rounds):
         if now.where("above is not null").isEmpty():
             break
-        top = now.select(F.col("call_id").alias("_id"), F.col("above").alias("_above"), F.col("level").alias("_level"))
+        top = now.select(F.col("call_id").alias("_id"), F.col("above").alias("_above"), F.col("level").alias("_level")).hint("shuffle_hash")
         # Ended pointers need no join.
         moved = now.where("above is not null").join(top, F.col("above") == F.col("_id")).select("call_id", F.col("_above").alias("above"), (F.col("level") + F.col("_level")).alias("level"))
         now = stored(moved.unionByName(now.where("above is null")), "levels")
     return now.select("call_id", F.when(F.col("above").isNull(), F.col("level")).alias("level"))
 
 
+def levels(calls: DataFrame) -> DataFrame:
+    """call_id and level (the most calls above it along parents; null on or behind a cycle) of distinct calls."""
+    ids = calls.where("call_id is not null").groupBy("call_id").agg(F.min_by(F.struct("turn", "pos", "parent_ids"), F.struct("turn", "pos")).alias("_c")).select("call_id", "_c.*")
+    ids = stored(ids, "call-ids")
+    here = ids.select(F.col("call_id").alias("_p"), F.struct("turn", "pos", "call_id").alias("_at")).hint("shuffle_hash")
+    edges = ids.select("call_id", F.explode(F.array_distinct("parent_ids")).alias("parent")).join(here, F.col("parent") == F.col("_p")).select("call_id", "parent", "_at")
+    edges = stored(edges, "call-edges")
+    latest = edges.groupBy("call_id").agg(F.max_by("parent", "_at").alias("above")).withColumnRenamed("call_id", "_c").hint("shuffle_hash")
+    now = ids.select("call_id").join(latest, F.col("call_id") == F.col("_c"), "left").select("call_id", "above")
+    rounds = ids.count().bit_length() + 1
+    # No parent of a cycle has a level, which counts as the deepest.
+    deep = F.coalesce("_level", F.lit((1 << 62)))
+    while True:
+        now = stored(now, "followed")
+        found = stored(climbed(now, rounds), "levels")
+        of = lambda: found.select(F.col("call_id").alias("_id"), F.col("level").alias("_level")).hint("shuffle_hash")
+        best = edges.join(of(), F.col("parent") == F.col("_id")).groupBy("call_id").agg(F.max(F.struct(deep.alias("deep"), "parent")).alias("_best"))
+        own = now.where("above is not null").join(of(), F.col("above") == F.col("_id")).select(F.col("call_id").alias("_c"), deep.alias("_own"))
+        moved = stored(best.join(own.hint("shuffle_hash"), F.col("call_id") == F.col("_c")).where("_best.deep > _own").select(F.col("call_id").alias("_c"), F.col("_best.parent").alias("_to")), "moved-calls")
+        if moved.isEmpty():
+            return found
+        now = now.join(moved.hint("shuffle_hash"), F.col("call_id") == F.col("_c"), "left").select("call_id", F.coalesce("_to", "above").alias("above"))
+
+
+def first_results(results: DataFrame) -> DataFrame:
+    """_rid and _r, the earliest result of every identifier."""
+    return results.where("call_id is not null").groupBy(F.col("call_id").alias("_rid")).agg(F.min(F.struct("turn", "content")).alias("_r"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, call_id, name, arguments, errors, result, result_turn, level and rank (order in the conversation)."""
-    calls = stored(calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments", "parent_id"), "calls")
-    first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "pos")).alias("_first")).withColumnRenamed("call_id", "_cid")
-    got = results.where("call_id is not null").groupBy(F.col("call_id").alias("_rid")).agg(F.min(F.struct("turn", "content")).alias("_r"))
-    level = levels(calls).withColumnRenamed("call_id", "_lid")
-    checked = problems(schemas, calls)
+    """conv_id, turn, pos, call_id, name, arguments, errors, result, result_turn, level and rank (order in the conversation).
+
+    calls: conv_id, turn, pos, call_id, name, arguments and parent_ids; results: call_id, turn and content.
+    """
+    calls = stored(calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments", "parent_ids"), "calls")
+    checked = problems(schemas, calls.drop("parent_ids")).withColumns({"result": F.lit(None).cast("string"), "result_turn": F.lit(None).cast(results.schema["turn"].dataType), "level": F.lit(None).cast("long")})
+    # Calls without an identifier meet nothing; in the joins they would all go to one task.
+    known = checked.where("call_id is not null").drop("result", "result_turn", "level")
+    first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "pos")).alias("_first")).withColumnRenamed("call_id", "_cid").hint("shuffle_hash")
+    level = levels(calls).withColumnRenamed("call_id", "_lid").hint("shuffle_hash")
     linked = (
-        checked.join(first, F.col("call_id") == F.col("_cid"), "left")
+        known.join(first, F.col("call_id") == F.col("_cid"), "left")
         .join(level, F.col("call_id") == F.col("_lid"), "left")
-        .join(got, (F.col("call_id") == F.col("_rid")) & (F.struct("turn", "pos") == F.col("_first")), "left")
+        .join(first_results(results).hint("shuffle_hash"), (F.col("call_id") == F.col("_rid")) & (F.struct("turn", "pos") == F.col("_first")), "left")
+        .select(*known.columns, F.col("_r.content").alias("result"), F.col("_r.turn").alias("result_turn"), "level")
     )
-    out = linked.select("conv_id", "turn", "pos", "call_id", "name", "arguments", "errors", F.col("_r.content").alias("result"), F.col("_r.turn").alias("result_turn"), "level")
-    # Blocks of levels; calls without a level come last.
+    out = stored(linked.unionByName(checked.where("call_id is null")).select("conv_id", "turn", "pos", "call_id", "name", "arguments", "errors", "result", "result_turn", "level"), "linked-calls")
+    # Blocks of levels, cut up by turns where many calls share one; calls without a level come last.
     block = F.coalesce(F.floor(F.col("level") / 64), F.lit(1 << 40))
     order = [F.col("level").asc_nulls_last(), "turn", "pos", "call_id", "name", "arguments"]
-    return ranked(out, ["conv_id"], order, block)
+    return ranked(out, ["conv_id"], order, block, F.struct("level", F.floor(F.col("turn") / 64)))
+
+
+def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of results that no call got: of an identifier that no call has, or not the earliest of theirs."""
+    ids = calls.where("call_id is not null").select(F.col("call_id").alias("_id")).distinct().hint("shuffle_hash")
+    numbered = results.withColumn("_n", F.when(F.col("call_id").isNotNull(), F.row_number().over(Window.partitionBy("call_id", F.when(F.col("call_id").isNull(), F.col("turn"))).orderBy("turn", "content"))))
+    met = numbered.where("_n = 1").join(ids, F.col("call_id") == F.col("_id"), "left_anti")
+    return met.unionByName(numbered.where("_n > 1 or _n is null")).drop("_n")
 
 
 def serialised(linked: DataFrame) -> DataFrame:

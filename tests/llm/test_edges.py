@@ -1,12 +1,15 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, extra clashing columns and empty tables."""
 
+import random
 import time
 
-import pytest
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
+from quillspark.llm.common import ranked
 
 LONG = " ".join(f"word{i % 977} token" for i in range(20_000))
 ROWS = [
@@ -118,28 +121,61 @@ def test_malformed_pages_take_linear_time(html):
     assert time.process_time() - began < 8
 
 
+CALLS = "conv_id long, turn int, pos int, call_id string, name string, arguments string, parent_ids array<string>, rank int, level string, result int"
+RESULTS = "call_id string, turn int, content string, level int"
+
+
 def test_tool_calls(spark):
-    calls = spark.createDataFrame(
-        [
-            (1, 0, 0, "a", "f", '{"y":2,"x":"s"}', None), (1, 1, 0, "b", "f", '{"x":1}', "a"), (1, 1, 0, "b", "f", '{"x":1}', "a"), (1, 2, 0, "c", "g", "{}", "d"), (1, 3, 0, "d", "f", "not json", "c"),
-            (1, 4, 0, None, "f", None, None), (None, 5, 0, "e", "f", '[1]', "gone"), (1, 6, 0, "h", "f", '{"x":"t"}', "b"),
-        ],
-        "conv_id long, turn int, pos int, call_id string, name string, arguments string, parent_id string",
-    )
-    results = spark.createDataFrame([("a", 5, "late"), ("a", 2, "first"), (None, 3, "lost"), ("zz", 1, "none")], "call_id string, turn int, content string")
+    rows = [
+        (1, 0, 0, "a", "f", '{"y":2,"x":"s"}', None), (1, 1, 0, "b", "f", '{"x":1}', ["a"]), (1, 1, 0, "b", "f", '{"x":1}', ["a"]), (1, 2, 0, "c", "g", "{}", ["d"]), (1, 3, 0, "d", "f", "not json", ["c"]),
+        (1, 4, 0, None, "f", None, None), (None, 5, 0, "e", "f", '[1]', ["gone", None]), (1, 6, 0, "h", "f", '{"x":"t"}', ["a", "b", "b"]), (1, 7, 0, "i", "f", f'{{"x":"{"long " * 50_000}"}}', ["h", "d"]),
+    ]
+    calls = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], CALLS)
+    results = spark.createDataFrame([("a", 5, "late", 1), ("a", 2, "first", 1), ("a", 2, "second", 1), ("a", 2, "first", 1), (None, 3, "lost", 1), ("zz", 1, "none", 1)], RESULTS)
     schemas = spark.createDataFrame([("f", ["x"], {"x": "string", "y": "integer"})], "name string, required array<string>, types map<string,string>")
     got = tool_calls.link(calls, results, schemas).collect()
-    assert len(got) == 8
+    assert len(got) == 9
     by = {r["call_id"]: r for r in got}
     assert by["a"]["arguments"] == '{"x":"s","y":2}' and by["a"]["errors"] == [] and by["a"]["result"] == "first"
-    assert by["b"]["errors"] == ["wrong type of x"] and by["c"]["errors"] == ["unknown tool"] and by["d"]["arguments"] is None
-    assert [by[k]["level"] for k in "abhcde"] == [0, 1, 2, None, None, 0]
-    assert sorted(r["rank"] for r in got if r["conv_id"] == 1) == list(range(7)) and by["c"]["rank"] == 4 and by["d"]["rank"] == 5
+    assert by["b"]["errors"] == ["wrong type of x"] and by["c"]["errors"] == ["unknown tool"] and by["d"]["arguments"] is None and by["i"]["errors"] == []
+    assert [by[k]["level"] for k in "abhcdei"] == [0, 1, 2, None, None, 0, None]
+    assert sorted(r["rank"] for r in got if r["conv_id"] == 1) == list(range(8)) and by["c"]["rank"] == 4 and by["d"]["rank"] == 5
     assert tool_calls.serialised(tool_calls.link(calls, results, schemas)).where("json is null").count() == 0
-    assert tool_calls.link(calls.limit(0), results, schemas).collect() == []
+    assert sorted(r["content"] for r in tool_calls.unlinked(calls, results).collect()) == ["first", "late", "lost", "none", "second"]
+    assert tool_calls.link(calls.limit(0), results, schemas).collect() == [] and tool_calls.unlinked(calls, results.limit(0)).collect() == []
+
+
+def test_levels_against_longest_ways(spark):
+    """Random parents: acyclic, then with cycles."""
+    r = random.Random(3)
+    for back in (0, 2):
+        n = 60
+        parents = {k: [r.randrange(k) for _ in range(r.randint(0, 3)) if k] for k in range(n)}
+        for _ in range(back):
+            k = r.randrange(n // 2)
+            parents[k] = parents[k] + [r.randrange(n)]
+        level = {}
+        for _ in range(n):
+            level = {k: max((level.get(p, 0) + 1 for p in parents[k]), default=0) for k in parents}
+        want = {}
+        for _ in range(n + 1):  # a level that still grows stands on a cycle or behind one
+            new = {k: max((level[p] + 1 for p in parents[k]), default=0) for k in parents}
+            want = {k: new[k] if new[k] == level[k] and k not in {q for q, v in want.items() if v is None} else None for k in new}
+            level = new
+        order = list(range(n))
+        r.shuffle(order)
+        calls = spark.createDataFrame([(order[k], 0, f"c{k}", [f"c{p}" for p in parents[k]]) for k in parents], "turn int, pos int, call_id string, parent_ids array<string>")
+        assert {int(x["call_id"][1:]): x["level"] for x in tool_calls.levels(calls).collect()} == want
+
+
+def test_ranks_of_blocks_that_are_cut_up(spark):
+    rows = [(g, b, k) for g in (None, 1, 2) for b in range(2) for k in range(30)]
+    df = spark.createDataFrame(rows, "g int, b int, k int")
+    got = ranked(df, ["g"], ["b", "k"], F.col("b"), F.floor(F.col("k") / 4), most=10).collect()
+    assert {(r["g"], r["b"], r["k"], r["rank"]) for r in got} == {(g, b, k, 30 * b + k) for g, b, k in rows}
 
 
 def test_parse_messages(spark):
-    rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":"{}","parent":null}]}'), (1, 1, "tool", '{"tool_call_id":"a","content":"ok"}'), (1, 2, "user", "plain"), (1, 3, "user", None)]
+    rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":"{}","parents":null}]}'), (1, 1, "tool", '{"tool_call_id":"a","content":"ok"}'), (1, 2, "user", "plain"), (1, 3, "user", None)]
     calls, results = tool_calls.parse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
     assert [r["call_id"] for r in calls.collect()] == ["a"] and [r["content"] for r in results.collect()] == ["ok"]
