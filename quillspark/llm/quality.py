@@ -29,6 +29,7 @@ class CoverParams:
 
     max_labels: int = 4000
     max_rules: int = 8
+    max_tries: int = 16
     max_conditions: int = 3
     precision: float = 0.95
     min_covered: int = 4
@@ -116,8 +117,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, params: CoverParams)
         .orderBy("_pick", "doc_id")
         .limit(params.max_labels)
     )
-    # The sample is bounded by its limit, so it may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(agreed), "doc_id")
+    # The sample is bounded by its limit, so it may be broadcast; of rows that share an id one counts.
+    sample = docs.select("doc_id", "text").join(F.broadcast(agreed), "doc_id").groupBy("doc_id", "_quality", "_pick").agg(F.min("text").alias("text"))
     return [r.asDict() for r in statistics(sample, ("doc_id", "_quality", "_pick")).collect()]
 
 
@@ -155,7 +156,9 @@ def learn(rows: list[dict], params: CoverParams = CoverParams()) -> list[Rule]:
         hit = [r["_quality"] == 0 for r in prune if Rule(tuple(conditions)).covers(r)]
         return (sum(hit) / len(hit) if hit else 0.0), len(hit)
 
-    while len(rules) < params.max_rules and any(r["_quality"] == 0 for r in grow):
+    tried = 0
+    while len(rules) < params.max_rules and tried < params.max_tries and any(r["_quality"] == 0 for r in grow):
+        tried += 1
         conditions, left = [], grow
         while len(conditions) < params.max_conditions and any(r["_quality"] != 0 for r in left):
             found = max((b for f in FEATURES if (b := best_condition(left, f))), default=None)
@@ -170,11 +173,13 @@ def learn(rows: list[dict], params: CoverParams = CoverParams()) -> list[Rule]:
         rule = Rule(tuple(conditions))
         hit = [r["_quality"] == 0 for r in grow if rule.covers(r)]
         ok, seen = worth(conditions)
-        if len(hit) < params.min_covered or sum(hit) < params.precision * len(hit) or (seen and ok < params.precision):
+        if not (len(hit) < params.min_covered or sum(hit) < params.precision * len(hit) or not seen or ok < params.precision):
+            rules.append(rule)
+            prune = [r for r in prune if not rule.covers(r)]
+        elif not any(hit):
             break
-        rules.append(rule)
-        grow = [r for r in grow if not rule.covers(r)]
-        prune = [r for r in prune if not rule.covers(r)]
+        # Of a rule that isn't sure enough only the rejected rows go: the next one is grown for the others.
+        grow = [r for r in grow if not rule.covers(r) or rules[-1:] != [rule] and r["_quality"] != 0]
     return rules
 
 
