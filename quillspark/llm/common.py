@@ -19,16 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, from `spark.checkpoint.dir`; a temporary one only in local mode, where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if spark not in _LOCAL:
+            _LOCAL[spark] = tempfile.mkdtemp(prefix="quillspark-")
+        path = _LOCAL[spark]
     return path.rstrip("/")
 
 
+_LOCAL: dict[SparkSession, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it when the results of its operators have been used."""
+    from pyarrow import fs
+
+    path = own_folder(spark)
+    store, path = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_dir(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

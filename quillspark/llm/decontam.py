@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.llm.common import ascii_lower, shingle_hashes, small_side, stored, words
 
@@ -40,9 +41,8 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
     """Distinct (doc_id, item_id) whose document holds a value of the item's sketch and has enough shingles."""
     sketch = stored(sketches(items, threshold, n), "sketches")
     parts = [r.asDict() for r in sketch.groupBy("part").agg(F.max("hash").alias("cut"), F.min("needed").alias("least")).orderBy("part").collect()]
-    none = docs.select("doc_id").join(items.select("item_id"), F.lit(False))
     if not parts:
-        return none
+        return docs.sparkSession.createDataFrame([], StructType([docs.schema["doc_id"], items.schema["item_id"]]))
     hashed = _split(docs, "doc_id").select("doc_id", F.array_distinct(shingle_hashes(F.col("w"), n)).alias("h"))
     # By the document's size, the largest sketch value of the partitions that it can hold.
     cut = F.greatest(*[F.when(F.size("h") >= p["least"], F.lit(p["cut"])) for p in parts], F.lit(-(1 << 63)))

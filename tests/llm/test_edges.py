@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, extra clashing columns and empty tables."""
 
+import os
 import random
 import time
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
+from quillspark.llm import common, decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
 from quillspark.llm.common import ranked
 
 LONG = " ".join(f"word{i % 977} token" for i in range(20_000))
@@ -179,3 +180,11 @@ def test_parse_messages(spark):
     rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":"{}","parents":null}]}'), (1, 1, "tool", '{"tool_call_id":"a","content":"ok"}'), (1, 2, "user", "plain"), (1, 3, "user", None)]
     calls, results = tool_calls.parse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
     assert [r["call_id"] for r in calls.collect()] == ["a"] and [r["content"] for r in results.collect()] == ["ok"]
+
+
+def test_stored_tables_are_cleared(spark):
+    folder = common.own_folder(spark)
+    assert common.stored(spark.range(3), "x").count() == 3 and os.listdir(folder)
+    common.clear(spark)
+    assert not os.path.exists(folder)
+    common.clear(spark)
