@@ -7,8 +7,12 @@ pair is then verified on the whole sets; only pairs that reach the similarity ar
 Beyond the shorter prefix a pair shares at most what is left of its set, so pairs that share too few prefix elements for
 the rest to make up are dropped before; that bound loses no pair either.
 
-Buckets of more than `direct` sets are compared in two rounds: neighbours by size first, then only pairs that the links
-found so far don't join. Equal sets are one node from the start, so copies cost nothing.
+Buckets of more than `direct` sets are compared in rounds: neighbours by size first; then, `rounds` times, each set with
+the `partners` sets of nearest signature that no link joins it to yet; at last all pairs that are still apart. A group of
+many near copies is joined by the first rounds, so that few pairs are left for the last one. A signature has 256 bits,
+each taken from the smallest of the set's hashes under a mixing of its own, and bits differ with a chance of
+(1 - similarity) / 2: sets at 0.8 differ in more than 64 bits with a chance below 1e-11, and such pairs are left out.
+Equal sets are one node from the start, so copies cost nothing.
 
 Defined results: null and empty texts have the empty set and are copies of each other; texts shorter than a shingle are
 one shingle; a null doc_id takes part, but never names a group unless all its members are null.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, small_side, stored, words
-from quillspark.llm.simhash import remixed, shingles
+from quillspark.llm.simhash import references, remixed, shingles
 from quillspark.operators.graph import components
 
 
@@ -37,10 +41,34 @@ class NearParams:
     num: int = 4
     den: int = 5
     direct: int = 8
+    rounds: int = 2
+    partners: int = 4
+    differing: int = 64
     sample: int = 20_000
     common: int = 100_000
 
 
+SIGNATURE = [f"g{k}" for k in range(4)]
+#: A prefix's elements as bits of a map, and how many elements found their bit taken.
+PREFIX = [f"p{k}" for k in range(8)] + ["taken"]
+
+
+def prefix_map(h: np.ndarray) -> np.ndarray:
+    bits = np.zeros(512, dtype=np.uint8)
+    bits[(h.view(np.uint64) >> np.uint64(55)).astype(np.int64)] = 1
+    return np.append(np.packbits(bits).view(np.int64), len(h) - int(bits.sum()))
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """256 bits, as four numbers, of a set of hashes: a bit of the smallest product with each of 256 odd constants."""
+    out = np.zeros(256, dtype=np.uint8)
+    mixers = references(512)[256:] | np.uint64(1)
+    step = max(1, (1 << 18) // max(1, len(h)))
+    for k in range(0, 256, step):
+        out[k : k + step] = (h.view(np.uint64)[None, :] * mixers[k : k + step, None]).min(axis=1, initial=np.uint64(2**64 - 1)) >> np.uint64(20) & np.uint64(1)
+    return np.packbits(out).view(np.int64)
+
+
 def hashed(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_id (a hash of the text) and h, the hashes of its shingles, repeats included."""
     split = docs.select("doc_id", F.xxhash64("text").alias("text_id"), words(ascii_lower(F.col("text"))).alias("w"))
@@ -56,35 +84,36 @@ def common_shingles(docs: DataFrame, p: NearParams) -> np.ndarray:
 
 
 def sets(docs: DataFrame, common: np.ndarray, p: NearParams, whole: bool) -> DataFrame:
-    """doc_id, text_id, node (a hash of the set), n (its size) and s: the whole set, or the prefix that a similar set must meet."""
+    """doc_id, text_id, node (a hash of the set), n (its size) and s: the whole set, or the prefix that a similar set must meet, with the signature."""
     order = np.argsort(common)
     known, place = common[order], order.astype(np.uint64)
 
-    def one(h: np.ndarray) -> tuple[int, int, np.ndarray]:
+    def one(h: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
         h = np.unique(h)
         node = int((remixed(h.view(np.uint64), 1).sum(dtype=np.uint64) + np.uint64(len(h))).view(np.int64))
         if whole or not len(h):
-            return node, len(h), h
+            return node, len(h), h, np.zeros(len(SIGNATURE) + len(PREFIX), np.int64)
         key = h.view(np.uint64) >> np.uint64(1)
         if len(known):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[at] == h
             key[hit] = np.uint64(1 << 63) + place[at[hit]]
         first = len(h) - -(-p.num * len(h) // p.den) + 1
-        return node, len(h), h[np.lexsort((h, key))[:first]]
+        prefix = h[np.lexsort((h, key))[:first]]
+        return node, len(h), prefix, np.concatenate([signature(h), prefix_map(prefix)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column("h")
             offsets, values = h.offsets.to_numpy(), h.values.to_numpy()
             found = [one(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
-            node, n, s = zip(*found) if found else ((), (), ())
+            node, n, s, g = zip(*found) if found else ((), (), (), ())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))
-            own = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists]
-            yield pa.record_batch([b.column("doc_id"), b.column("text_id"), *own], names=["doc_id", "text_id", "node", "n", "s"])
+            own = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists, *map(pa.array, np.array(g, dtype=np.int64).reshape(-1, len(SIGNATURE) + len(PREFIX)).T)]
+            yield pa.record_batch([b.column("doc_id"), b.column("text_id"), *own], names=["doc_id", "text_id", "node", "n", "s", *SIGNATURE, *PREFIX])
 
     rows = hashed(docs, p.shingle)
-    return rows.mapInArrow(run, rows.drop("h").schema.simpleString()[7:-1] + ", node long, n long, s array<long>")
+    return rows.mapInArrow(run, rows.drop("h").schema.simpleString()[7:-1] + ", node long, n long, s array<long>, " + ", ".join(f"{g} long" for g in [*SIGNATURE, *PREFIX]))
 
 
 def buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -146,23 +175,49 @@ def candidates(tokens: DataFrame, p: NearParams) -> DataFrame:
     return dealt.mapInArrow(run, "token long, large boolean, a long, b long, need long, one long")
 
 
-def apart(large: DataFrame, p: NearParams) -> DataFrame:
-    """From token, node, n and root: pairs of nodes (a, b) of a bucket whose roots differ, with the shared elements that they need."""
+def compared(large: DataFrame, p: NearParams, emit, schema: str) -> DataFrame:
+    """emit(node, i, others, bits) for each set i of each large bucket whose sets no link joins all.
+
+    `others` are the later sets that are apart from it and may be similar, by signature (differing in so many bits) and by
+    the elements that the prefixes can share.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        for _, node, n, root in buckets(batches, ["token", "node", "n", "root"]):
+        for _, node, n, root, *g in buckets(batches, ["token", "node", "n", "root", *SIGNATURE, *PREFIX]):
             if (root == root[0]).all():
                 continue
+            g, held, taken = np.stack(g[:4], axis=1).view(np.uint64), np.stack(g[4:-1], axis=1).view(np.uint64), g[-1]
             last = np.searchsorted(n, p.den * n // p.num, side="right")
             for i in range(len(node) - 1):
-                other = node[i + 1 : last[i]][root[i + 1 : last[i]] != root[i]]
-                if len(other):
-                    yield [np.minimum(node[i], other), np.maximum(node[i], other), needed(n[i], n[i + 1 : last[i]][root[i + 1 : last[i]] != root[i]], p)]
+                rest = slice(i + 1, last[i])
+                away = np.bitwise_count(g[rest] ^ g[i]).sum(axis=1, dtype=np.int64)
+                own = np.flatnonzero((root[rest] != root[i]) & (away <= p.differing))
+                away, own = away[own], own + i + 1
+                # Shared elements share their bits, but for those that found one taken.
+                shared = np.bitwise_count(held[own] & held[i]).sum(axis=1, dtype=np.int64) + np.minimum(taken[own], taken[i])
+                enough = shared >= needed(n[own], n[i], p)
+                if enough.any():
+                    yield emit(node, i, own[enough], away[enough])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(found(batches), ["a", "b", "need"])
+        yield from batched(found(batches), [c.split()[0] for c in schema.split(", ")])
+
+    return large.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema)
+
+
+def nearest(large: DataFrame, p: NearParams, skipped: int) -> DataFrame:
+    """Pairs (a, b) of each set of a large bucket with those that are apart from it and nearest by signature, the first `skipped` left out."""
 
-    return large.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long, need long")
+    def emit(node, i, others, away):
+        own = others[np.argsort(away, kind="stable")[skipped : skipped + p.partners]]
+        return [np.minimum(node[i], node[own]), np.maximum(node[i], node[own])]
+
+    return compared(large, p, emit, "a long, b long").distinct()
+
+
+def apart(large: DataFrame, p: NearParams) -> DataFrame:
+    """All pairs (a, b) of sets of a large bucket that are still apart and may be similar."""
+    return compared(large, p, lambda node, i, others, away: [np.minimum(node[i], node[others]), np.maximum(node[i], node[others])], "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
@@ -184,7 +239,8 @@ def roots(edges: DataFrame, name: str) -> DataFrame:
 
 def links(found: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
     """src and dst: links between nodes (of rows row, text_id, node, n, s) that join all nodes that similar pairs join."""
-    nodes = stored(found.groupBy("node").agg(F.min(F.struct("row", "text_id")).alias("_low")).select("node", F.col("_low.row").alias("_row"), F.col("_low.text_id").alias("low_text")), "nodes")
+    nodes = found.groupBy("node").agg(F.min(F.struct("row", "text_id", *SIGNATURE, *PREFIX)).alias("_low"))
+    nodes = stored(nodes.select("node", F.col("_low.row").alias("_row"), F.col("_low.text_id").alias("low_text"), *[F.col(f"_low.{g}").alias(g) for g in [*SIGNATURE, *PREFIX]]), "nodes")
     once = found.join(nodes.select("_row"), F.col("row") == F.col("_row"), "left_semi")
     met = stored(candidates(once.select(F.explode("s").alias("s"), "node", "n"), p), "candidates")
     pairs = stored(met.where("not large").groupBy("a", "b").agg(F.sum("one").alias("shared"), F.max("need").alias("need")), "pairs")
@@ -193,17 +249,24 @@ def links(found: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
     ca, cb = (often.select(F.col("a").alias(f"_{c}"), F.col("count").alias(f"_n{c}")) for c in "ab")
     bounded = pairs.join(ca, F.col("a") == F.col("_a"), "left").join(cb, F.col("b") == F.col("_b"), "left")
     likely = bounded.where(F.col("shared") + F.least(F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))) >= F.col("need"))
-    first = stored(verified(stored(likely.select("a", "b"), "likely-pairs"), nodes, docs, p), "links")
+    tried = stored(likely.select("a", "b"), "likely-pairs")
+    joined = stored(verified(tried, nodes, docs, p), "links")
     large = met.where("large").select("token", F.col("a").alias("node"), F.col("b").alias("n"))
     if large.isEmpty():
-        return first
-    joined = large.join(small_side(roots(first, "roots-of-neighbours")), F.col("node") == F.col("_node"), "left")
-    rest = apart(joined.select("token", "node", "n", F.coalesce("root", "node").alias("root")), p)
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("more"), F.max("need").alias("need"))
-    done, known = likely.select("a", "b"), pairs.select("a", "b", "shared")
-    rest = rest.join(known, ["a", "b"], "left").where(F.col("more") + F.coalesce("shared", F.lit(0)) >= F.col("need")).select("a", "b")
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "pairs-apart")
-    return first.union(verified(rest, nodes, docs, p))
+        return joined
+    large = stored(large.join(nodes.select("node", *SIGNATURE, *PREFIX), "node"), "large-buckets")
+
+    def split(edges: DataFrame) -> DataFrame:
+        top = small_side(roots(edges, "roots-so-far"))
+        return large.join(top, F.col("node") == F.col("_node"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"), *SIGNATURE, *PREFIX)
+
+    for k in range(p.rounds):
+        new = stored(nearest(split(joined), p, k * p.partners).join(tried, ["a", "b"], "left_anti"), "nearest-pairs")
+        if new.isEmpty():
+            break
+        joined, tried = stored(joined.union(verified(new, nodes, docs, p)), "links"), stored(tried.union(new), "tried-pairs")
+    rest = stored(apart(split(joined), p).join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+    return joined.union(verified(rest, nodes, docs, p))
 
 
 def groups(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
