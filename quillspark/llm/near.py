@@ -175,7 +175,7 @@ def candidates(tokens: DataFrame, p: NearParams) -> DataFrame:
     return dealt.mapInArrow(run, "token long, large boolean, a long, b long, need long, one long")
 
 
-def compared(large: DataFrame, p: NearParams, emit, schema: str) -> DataFrame:
+def compared(large: DataFrame, p: NearParams, emit) -> DataFrame:
     """emit(node, i, others, bits) for each set i of each large bucket whose sets no link joins all.
 
     `others` are the later sets that are apart from it and may be similar, by signature (differing in so many bits) and by
@@ -183,26 +183,33 @@ def compared(large: DataFrame, p: NearParams, emit, schema: str) -> DataFrame:
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        for _, node, n, root, *g in buckets(batches, ["token", "node", "n", "root", *SIGNATURE, *PREFIX]):
+        for token, node, n, root, *g in buckets(batches, ["token", "node", "n", "root", *SIGNATURE, *PREFIX]):
             if (root == root[0]).all():
                 continue
             g, held, taken = np.stack(g[:4], axis=1).view(np.uint64), np.stack(g[4:-1], axis=1).view(np.uint64), g[-1]
             last = np.searchsorted(n, p.den * n // p.num, side="right")
+            upto = np.packbits(np.arange(512) <= int(token[:1].view(np.uint64)[0] >> np.uint64(55))).view(np.uint64)
             for i in range(len(node) - 1):
                 rest = slice(i + 1, last[i])
                 away = np.bitwise_count(g[rest] ^ g[i]).sum(axis=1, dtype=np.int64)
                 own = np.flatnonzero((root[rest] != root[i]) & (away <= p.differing))
                 away, own = away[own], own + i + 1
                 # Shared elements share their bits, but for those that found one taken.
-                shared = np.bitwise_count(held[own] & held[i]).sum(axis=1, dtype=np.int64) + np.minimum(taken[own], taken[i])
-                enough = shared >= needed(n[own], n[i], p)
+                both = held[own] & held[i]
+                spare = np.bitwise_count(both).sum(axis=1, dtype=np.int64) + np.minimum(taken[own], taken[i]) - needed(n[own], n[i], p)
+                # A pair that shares enough has its first shared element among as many first bits as it has to spare, so
+                # it is met there, and its other buckets need not give it again.
+                enough = (spare >= 0) & (np.bitwise_count(both & upto).sum(axis=1, dtype=np.int64) <= spare + 1)
                 if enough.any():
                     yield emit(node, i, own[enough], away[enough])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(found(batches), [c.split()[0] for c in schema.split(", ")])
+        # Buckets of a group hold the same pairs: a task gives each but once among many.
+        for b in batched(found(batches), ["a", "b"], 500_000):
+            pairs = np.unique(np.stack([b.column(c).to_numpy() for c in ("a", "b")], axis=1), axis=0)
+            yield pa.record_batch([pa.array(x) for x in pairs.T], names=["a", "b"])
 
-    return large.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema)
+    return large.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long")
 
 
 def nearest(large: DataFrame, p: NearParams, skipped: int) -> DataFrame:
@@ -212,12 +219,12 @@ def nearest(large: DataFrame, p: NearParams, skipped: int) -> DataFrame:
         own = others[np.argsort(away, kind="stable")[skipped : skipped + p.partners]]
         return [np.minimum(node[i], node[own]), np.maximum(node[i], node[own])]
 
-    return compared(large, p, emit, "a long, b long").distinct()
+    return compared(large, p, emit).distinct()
 
 
 def apart(large: DataFrame, p: NearParams) -> DataFrame:
     """All pairs (a, b) of sets of a large bucket that are still apart and may be similar."""
-    return compared(large, p, lambda node, i, others, away: [np.minimum(node[i], node[others]), np.maximum(node[i], node[others])], "a long, b long").distinct()
+    return compared(large, p, lambda node, i, others, away: [np.minimum(node[i], node[others]), np.maximum(node[i], node[others])]).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
