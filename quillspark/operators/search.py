@@ -81,39 +81,33 @@ def within_budget(rows: DataFrame, group: list[str], order: list, size: Column,
     return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, least: float = 0.0) -> DataFrame:
-    """query_id, vec_id and score of the k nearest (cosine above `least`) of each query, other than itself.
+def _by_blocks(vectors: DataFrame, queries: DataFrame, block: int, columns: list[str], emit, schema: str) -> DataFrame:
+    """emit(query ids, rows of the batch, scores) over every block of queries and every batch of vectors.
 
-    Queries (vec_id, embedding) go to the tasks in blocks of bounded size; each batch gives its own k best.
+    A score is the cosine; a vector's score to itself is -2.
     """
     import numpy as np
-    import pyarrow as pa
 
     rows = queries.select("vec_id", "embedding").where("embedding is not null").orderBy("vec_id").toLocalIterator()
     found = []
 
     def search(own):
         ids = np.array([r["vec_id"] for r in own], dtype=np.int64)
-        q = np.array([r["embedding"] for r in own], dtype=np.float64)
+        q = np.array([r["embedding"] for r in own], dtype=np.float64) if own else np.zeros((0, 1))
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches):
             for b in batches:
                 b = b.filter(b.column("embedding").is_valid())
-                if not b.num_rows:
+                if not b.num_rows or not len(ids):
                     continue
-                vec = b.column("vec_id").to_numpy(zero_copy_only=False)
                 x = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 s = q @ x.T
-                s[ids[:, None] == vec[None, :]] = -2
-                near = np.argsort(-s, axis=1, kind="stable")[:, : k + 8]
-                row = np.repeat(np.arange(len(ids)), near.shape[1])
-                score = s[row, near.ravel()]
-                keep = score > max(least, -1.5)
-                yield pa.record_batch([pa.array(ids[row][keep]), pa.array(vec[near.ravel()][keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                s[ids[:, None] == b.column("vec_id").to_numpy(zero_copy_only=False)[None, :]] = -2
+                yield emit(ids, b, s)
 
-        return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+        return vectors.select("vec_id", "embedding", *columns).mapInArrow(run, schema)
 
     own = []
     for r in rows:
@@ -122,6 +116,45 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024
             found.append(search(own))
             own = []
     found.append(search(own)) if own or not found else None
-    scored = reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
+    return reduce(DataFrame.unionByName, found)
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, least: float = 0.0) -> DataFrame:
+    """query_id, vec_id, score and rank of the k nearest (cosine above `least`) of each query, other than itself.
+
+    Scores are rounded to 6 places and ties go by id, so a batch gives all vectors that can round to its k-th score.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def emit(ids, b, s):
+        near = s > least - 1e-6
+        if s.shape[1] > k:
+            near &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None] - 1e-6
+        row, at = np.nonzero(near & (s > -1.5))
+        return pa.record_batch([pa.array(ids[row]), b.column("vec_id").take(pa.array(at)).cast(pa.int64()), pa.array(s[row, at])], names=["query_id", "vec_id", "score"])
+
+    scored = _by_blocks(vectors, queries, block, [], emit, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6)).where(F.col("score") > least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def vector_pool(vectors: DataFrame, queries: DataFrame, group: str, block: int = 1024, least: float = 0.0) -> DataFrame:
+    """query_id, group and score: the best cosine above `least` of each group of all vectors, for each query.
+
+    Maxima are taken in each batch, so what is shuffled are groups, not vectors.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def emit(ids, b, s):
+        coded = b.column(group).dictionary_encode(null_encoding="encode")
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        best = np.maximum.reduceat(s[:, order], np.searchsorted(code[order], np.arange(len(coded.dictionary))), axis=1)
+        row, at = np.nonzero(best > max(least - 1e-6, -1.5))
+        return pa.record_batch([pa.array(ids[row]), coded.dictionary.take(pa.array(at)), pa.array(best[row, at])], names=["query_id", group, "score"])
+
+    kind = vectors.schema[group].dataType.simpleString()
+    found = _by_blocks(vectors, queries, block, [group], emit, f"query_id long, `{group}` {kind}, score double")
+    return found.groupBy("query_id", group).agg(F.round(F.max("score"), 6).alias("score")).where(F.col("score") > least)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import audit, chunks, feeds, graph, index, search, social, terms
 from quillspark.operators.index import Bm25
-from quillspark.session import table
+from quillspark.session import cut, table
 from quillspark.streaming import events as E
 
 #: Fixed search terms.
@@ -70,12 +70,16 @@ def vocab_top(spark, d):
 
 
 def source_keywords(spark, d):
-    """Each source's ten strongest terms by count times ln((N + 1) / (df + 1))."""
+    """Each source's ten strongest terms by count times ln((N + 1) / (df + 1)).
+
+    One pass over the texts: a document's terms keep its source, so counts and documents of a term come from one aggregate.
+    """
     docs = _docs(spark, d)
-    posted = docs.select("doc_id", "source").join(index.postings(docs), "doc_id")
     n = docs.count()
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    scored = posted.groupBy("source", "term").agg(F.sum("tf").alias("tf")).join(df, "term")
+    posted = docs.select("doc_id", "source", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("source", "term", "doc_id").agg(F.count("*").alias("tf"))
+    by_source = cut(posted.groupBy("source", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs")))
+    df = by_source.groupBy("term").agg(F.sum("docs").alias("df"))
+    scored = by_source.join(df, "term")
     scored = scored.withColumn("score", F.round(F.col("tf") * F.log((F.lit(n) + 1) / (F.col("df") + 1)), 6))
     w = Window.partitionBy("source").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").select("source", "term", "score", "rank")
@@ -104,10 +108,9 @@ def label_centroids(spark, d):
 
 
 def maxpool_label(spark, d):
-    """For each query vector the best score of each label."""
+    """For each query vector the best score of each label, over all vectors."""
     v = table(spark, d, "embeddings")
-    near = search.vector_top(v, v.where("vec_id % 50 = 0"), 100).join(v.select("vec_id", "label"), "vec_id")
-    return near.groupBy("query_id", "label").agg(F.max("score").alias("score"))
+    return search.vector_pool(v, v.where("vec_id % 50 = 0"), "label")
 
 
 def rrf_fusion(spark, d):
@@ -244,10 +247,10 @@ def personalised_pagerank(spark, d):
 
 
 def part_supplier_components(spark, d):
-    """Components of suppliers that sold the same rarely sold part (parts with two suppliers)."""
-    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    two = sold.groupBy("l_partkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("src"), F.max("l_suppkey").alias("dst")).where("n = 2")
-    return graph.components(two.select("src", "dst"))
+    """Components of suppliers that met in an order's largest lines (quantity 50): the first and the last of an order are linked."""
+    large = table(spark, d, "lineitem").where("l_quantity = 50").groupBy("l_orderkey")
+    met = large.agg(F.min("l_suppkey").alias("src"), F.max("l_suppkey").alias("dst")).where("src <> dst")
+    return graph.components(met.select("src", "dst"))
 
 
 def bfs_hops(spark, d):

@@ -99,7 +99,7 @@ ORACLES = {
     "exact_duplicates": "SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "vector_topk": f"WITH {_VEC} SELECT query_id, vec_id, score, rank FROM best WHERE rank <= 10",
     "label_centroids": "WITH c AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim::INT AS dim, round(avg(x::DOUBLE), 6) AS mean FROM c GROUP BY 1, 2",
-    "maxpool_label": f"WITH {_VEC} SELECT query_id, label, max(score) AS score FROM best WHERE rank <= 100 GROUP BY 1, 2",
+    "maxpool_label": f"WITH {_VEC} SELECT query_id, label, max(score) AS score FROM best GROUP BY 1, 2",
     "rrf_fusion": f"""WITH {_BM25}, {_VEC}, s AS (SELECT doc_id, round(sum(idf * least(tf, 255) * 2.5 / (least(tf, 255) + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS s FROM w GROUP BY doc_id),
         a AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM s QUALIFY r <= 50), b AS (SELECT vec_id AS doc_id, rank AS r FROM best WHERE query_id = 0 AND rank <= 50)
         SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0), 9) AS score, a.r IS NOT NULL AS lexical, b.r IS NOT NULL AS semantic FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
@@ -134,7 +134,7 @@ ORACLES = {
     "pagerank_directed": _pagerank("strong", 20, "SELECT node, round(score, 9) AS score FROM {r}"),
     "pagerank_undirected": _pagerank("near", 20, "SELECT node, round(score / (SELECT max(score) FROM {r}), 9) AS score FROM {r}"),
     "personalised_pagerank": _ppr(),
-    "part_supplier_components": """WITH RECURSIVE sold AS (SELECT l_partkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2),
+    "part_supplier_components": """WITH RECURSIVE sold AS (SELECT l_orderkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem WHERE l_quantity = 50 GROUP BY 1 HAVING min(l_suppkey) <> max(l_suppkey)),
         e AS (SELECT a AS u, b AS v FROM sold UNION SELECT b, a FROM sold), r(node, seen) AS (SELECT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u) SELECT node, min(seen) AS root FROM r GROUP BY node""",
     "bfs_hops": f"""WITH RECURSIVE {_TRADE}, r(node, hops) AS (SELECT 0, 0 UNION SELECT dst, hops + 1 FROM r JOIN near ON src = node WHERE hops < 3) SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY node""",
     "bridge_nations": f"WITH {_TRADE} SELECT src AS node, count(DISTINCT n_regionkey) AS spans FROM near JOIN nation ON dst = n_nationkey GROUP BY src HAVING count(DISTINCT n_regionkey) >= 2",

@@ -22,13 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions that name none.
+_LOCAL: dict[SparkSession, str | None] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to the cluster's shared folder and read again: iterations neither grow their plans nor lose work."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault(spark, None) or tempfile.mkdtemp(prefix="quillspark-")
+        _LOCAL[spark] = base
     path = f"{base.rstrip('/')}/quillspark/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
