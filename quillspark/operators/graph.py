@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,136 +128,150 @@ def bridges(edges: DataFrame, membership: DataFrame) -> DataFrame:
 def cut_points(edges: DataFrame) -> DataFrame:
     """node and stranded (nodes cut off but for the largest piece) of articulation points.
 
-    Components are independent and go to tasks on their own; the search within one is sequential, so its size is what
-    a task holds: ids of one component's edges, no texts.
+    A breadth-first tree reaches every component from its smallest node. Each edge outside the tree closes a cycle with the
+    two ways up to where they meet, so the tree edges on these (named by their lower node) belong to one block. A node whose
+    tree edges belong to two blocks or more is a cut point, and each block is a piece without it. All steps are rounds of
+    joins, as many as the tree is deep. Loops and repeated edges count nothing; no edges give no rows.
     """
-    import pandas as pd
-
-    both = undirected(edges)
-    rooted = both.join(components(edges), F.col("src") == F.col("node")).select("root", "src", "dst")
-
-    def pieces_without(near: dict, node) -> list[int]:
-        seen, sizes = {node}, []
-        for start in near[node]:
-            if start in seen:
-                continue
-            todo, n = [start], 0
-            seen.add(start)
-            while todo:
-                x = todo.pop()
-                n += 1
-                for y in near[x]:
-                    if y not in seen:
-                        seen.add(y)
-                        todo.append(y)
-            sizes.append(n)
-        return sizes
-
-    def search(own: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(own["src"], own["dst"]):
-            near.setdefault(a, []).append(b)
-        order, low, found = {}, {}, set()
-        for first in sorted(near)[:1]:
-            stack, children = [(first, None, iter(sorted(near[first])))], 0
-            order[first] = low[first] = 0
-            while stack:
-                node, above, rest = stack[-1]
-                for x in rest:
-                    if x not in order:
-                        order[x] = low[x] = len(order)
-                        stack.append((x, node, iter(sorted(near[x]))))
-                        break
-                    if x != above:
-                        low[node] = min(low[node], order[x])
-                else:
-                    stack.pop()
-                    if above is None:
-                        continue
-                    low[above] = min(low[above], low[node])
-                    if above == first:
-                        children += 1
-                    elif low[node] >= order[above]:
-                        found.add(above)
-            if children > 1:
-                found.add(first)
-        rows = [(x, sum(s := pieces_without(near, x)) - max(s)) for x in sorted(found)]
-        return pd.DataFrame(rows, columns=["node", "stranded"])
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return rooted.groupBy("root").applyInPandas(search, f"node {kind}, stranded long")
+    both = cut(undirected(edges.where("src is not null and dst is not null")))
+    root = components(both.where("src < dst"))
+    kind = both.schema["src"].dataType
+    front = cut(root.where("node = root").select("node", "root", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth")))
+    levels, tree = [], front
+    while not front.isEmpty():
+        levels.append(front)
+        met = both.join(front, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("_n")).agg(F.min("root").alias("root"), F.min("node").alias("parent"))
+        front = cut(met.join(tree.select("node"), F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), "root", "parent", F.lit(len(levels)).alias("depth")))
+        tree = cut(tree.unionByName(front))
+    up = lambda c: tree.select(F.col("node").alias(f"_{c}"), F.col("parent").alias(f"{c}_up"), F.col("depth").alias(f"{c}_depth"))
+    placed = both.where("src < dst").toDF("x", "y").join(up("x"), F.col("x") == F.col("_x")).join(up("y"), F.col("y") == F.col("_y")).drop("_x", "_y")
+    closing = placed.where("not (x_up <=> y) and not (y_up <=> x)")
+    pairs = cut(closing)
+    # Depths differ by one at most: first the deeper end goes up, then both in step, until they have one parent.
+    links = pairs.where("x_depth > y_depth").select("x", "x_up").union(pairs.where("y_depth > x_depth").select("y", "y_up")).toDF("src", "dst")
+    level = pairs.select(F.when(F.col("x_depth") > F.col("y_depth"), F.col("x_up")).otherwise(F.col("x")).alias("x"), F.when(F.col("y_depth") > F.col("x_depth"), F.col("y_up")).otherwise(F.col("y")).alias("y"))
+    level = cut(level.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    links = cut(links.union(level).distinct())
+    while not level.isEmpty():
+        apart = level.join(up("x"), F.col("x") == F.col("_x")).join(up("y"), F.col("y") == F.col("_y")).where("x_up <> y_up")
+        apart = cut(apart.select("x", "y", "x_up", "y_up"))
+        links = cut(links.union(apart.select("x", "x_up")).union(apart.select("y", "y_up")).distinct())
+        level = cut(apart.select(F.least("x_up", "y_up").alias("x"), F.greatest("x_up", "y_up").alias("y")).distinct())
+    block = components(links).select(F.col("node").alias("_b"), F.col("root").alias("block"))
+    sizes, measured = None, []
+    for here in reversed(levels):
+        if sizes is None:
+            below = here.select("node", "parent", F.lit(1).cast("long").alias("size"))
+        else:
+            held = sizes.groupBy(F.col("parent").alias("_p")).agg(F.sum("size").alias("held"))
+            below = here.join(held, F.col("node") == F.col("_p"), "left").select("node", "parent", (1 + F.coalesce("held", F.lit(0))).cast("long").alias("size"))
+        sizes = cut(below)
+        measured.append(sizes)
+    if sizes is None:
+        return both.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("stranded"))
+    sized = reduce(DataFrame.unionByName, measured)
+    sized = cut(sized.join(block, F.col("node") == F.col("_b"), "left").select("node", "parent", "size", F.coalesce("block", "node").alias("block")))
+    own = tree.select(F.col("node").alias("_n"), "root").join(sized.select(F.col("node").alias("_m"), F.col("block").alias("upward")), F.col("_n") == F.col("_m"))
+    total = sized.where("parent is null").select(F.col("node").alias("_r"), F.col("size").alias("total"))
+    pieces = sized.where("parent is not null").groupBy("parent", "block").agg(F.sum("size").alias("n"))
+    # Pieces below a node, but for the block that also goes up; what is left of the component is the piece above.
+    joined = pieces.join(own, F.col("parent") == F.col("_n")).join(total, F.col("root") == F.col("_r"))
+    lower = F.when((F.col("parent") == F.col("root")) | (F.col("block") != F.col("upward")), F.col("n"))
+    found = joined.groupBy(F.col("parent").alias("node")).agg(F.count(lower).alias("k"), F.sum(lower).alias("cut_off"), F.max(lower).alias("most"), F.first("total").alias("total"), F.first(F.col("parent") == F.col("root")).alias("top"))
+    above = F.when(F.col("top"), 0).otherwise(F.col("total") - 1 - F.col("cut_off"))
+    return found.where("k > 1 or (k = 1 and not top)").select("node", (F.col("total") - 1 - F.greatest("most", above)).cast("long").alias("stranded"))
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, passes: int = 50) -> DataFrame:
-    """node and community by Louvain moves on weighted undirected edges (src, dst, weight).
+    """node and community (its smallest node) by Louvain moves on weighted undirected edges (src, dst, weight).
 
-    Moves depend on each other's order, so they run per component: components never share a community.
+    In each round the nodes whose hash is even or odd in turn move to the neighbouring community of the largest gain (ties:
+    the smallest), all at once, by joins and sums. A round that doesn't raise modularity ends its level after one more try;
+    communities then become the nodes of the next level. Loops and rows with nulls are left out.
     """
-    import pandas as pd
-
-    whole = edges.agg(F.sum("weight")).first()[0] or 1.0
-    rooted = edges.join(components(edges), F.col("src") == F.col("node")).select("root", "src", "dst", "weight")
-
-    def search(own: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, w in zip(own["src"], own["dst"], own["weight"]):
-            if a != b:
-                near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-                near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + w
-        member = {x: x for x in near}
-        while True:
-            degree = {x: sum(v.values()) for x, v in near.items()}
-            label, total = {x: x for x in near}, dict(degree)
-            for _ in range(passes):
-                moved = False
-                for x in sorted(near):
-                    old = label[x]
-                    total[old] -= degree[x]
-                    inside: dict = {old: 0.0}
-                    for y, w in near[x].items():
-                        if y != x:
-                            inside[label[y]] = inside.get(label[y], 0.0) + w
-                    gain = lambda c: inside[c] - resolution * total.get(c, 0.0) * degree[x] / (2 * whole)  # noqa: B023, E731
-                    best = old
-                    for c in sorted(inside):
-                        if gain(c) > gain(best) + 1e-12:
-                            best = c
-                    label[x] = best
-                    total[best] = total.get(best, 0.0) + degree[x]
-                    moved |= best != old
-                if not moved:
+    known = edges.where("src is not null and dst is not null and weight is not null and src <> dst")
+    one = cut(known.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")))
+    near = cut(one.union(one.select("dst", "src", "weight")))
+    twice = near.agg(F.sum("weight")).first()[0] or 1.0
+    member = cut(near.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
+
+    def modularity(labels: DataFrame) -> float:
+        a, b = (labels.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"_l{c}")) for c in "ab")
+        inside = near.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).where("_la = _lb").agg(F.sum("weight")).first()[0] or 0.0
+        held = labels.groupBy("label").agg(F.sum("degree").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+        return inside / twice - resolution * held / (twice * twice)
+
+    def moves(labels: DataFrame, turn: int) -> DataFrame:
+        there = labels.select(F.col("node").alias("_n"), F.col("label").alias("to"))
+        totals = labels.groupBy(F.col("label").alias("_t")).agg(F.sum("degree").alias("total"))
+        drawn = near.where("src <> dst").join(there, F.col("dst") == F.col("_n")).groupBy(F.col("src").alias("_s"), "to").agg(F.sum("weight").alias("w"))
+        mine = labels.where(F.pmod(F.xxhash64("node") + turn, F.lit(2)) == 0)
+        # Its own community is a choice even if no neighbour is in it.
+        stay = mine.select(F.col("node").alias("_s"), F.col("label").alias("to"), F.lit(0.0).alias("w"))
+        choices = drawn.unionByName(stay).groupBy("_s", "to").agg(F.sum("w").alias("w"))
+        scored = choices.join(mine, F.col("_s") == F.col("node")).join(totals, F.col("to") == F.col("_t"))
+        rest = F.col("total") - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * rest * F.col("degree") / twice, 9)
+        scored = scored.select("node", "to", gain.alias("gain"), (F.col("to") == F.col("label")).alias("same"))
+        best = scored.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), (~F.col("same")).alias("s"), "to")).alias("_b")).select(F.col("node").alias("_n"), F.col("_b.to").alias("_to"))
+        return labels.join(best, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_to", "label").alias("label"), "degree")
+
+    while True:
+        degree = near.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
+        labels = start = cut(degree.select("node", F.col("node").alias("label"), "degree"))
+        score, idle = modularity(labels), 0
+        for turn in range(passes):
+            moved = cut(moves(labels, turn))
+            now = modularity(moved)
+            if now > score + 1e-9:
+                labels, score, idle = moved, now, 0
+            else:
+                idle += 1
+                if idle == 2:
                     break
-            if all(label[x] == x for x in near):
-                break
-            member = {x: label[c] for x, c in member.items()}
-            merged: dict = {}
-            for x, v in near.items():
-                for y, w in v.items():
-                    row = merged.setdefault(label[x], {})
-                    row[label[y]] = row.get(label[y], 0.0) + w
-            near = merged
-        low: dict = {}
-        for x, c in member.items():
-            low[c] = min(low.get(c, x), x)
-        return pd.DataFrame([(x, low[c]) for x, c in member.items()], columns=["node", "community"])
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return rooted.groupBy("root").applyInPandas(search, f"node {kind}, community {kind}")
-
-
-def similar_pairs(posted: DataFrame, top_terms: int = 64, threshold: float = 0.3, most_docs: int = 600) -> DataFrame:
-    """Pairs a < b and their cosine over each document's strongest terms.
-
-    Terms in more than `most_docs` documents say little and would pair all of them, so they carry no weight at all.
+        if labels is start:
+            break
+        names = labels.select(F.col("node").alias("_n"), "label")
+        member = cut(member.join(names, F.col("community") == F.col("_n")).select("node", F.col("label").alias("community")))
+        a, b = (labels.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"_l{c}")) for c in "ab")
+        near = cut(near.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).groupBy(F.col("_la").alias("src"), F.col("_lb").alias("dst")).agg(F.sum("weight").alias("weight")))
+    low = member.groupBy(F.col("community").alias("_c")).agg(F.min("node").alias("low"))
+    return member.join(low, F.col("community") == F.col("_c")).select("node", F.col("low").alias("community"))
+
+
+def similar_pairs(posted: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Pairs a < b of documents with different term counts, and their exact cosine of at least `threshold`; postings: doc_id, term, tf.
+
+    Documents with equal term counts stand for one another: pairs are of the smallest ids, `copies` gives the membership.
+    Terms go from rare to frequent; a document is looked up by its leading terms only, until the rest of its unit vector is
+    shorter than the threshold. A pair over the threshold shares such a term on both sides, so none is missed, and frequent
+    terms, which come last, fetch candidates only where the threshold asks for them. Candidates get the cosine of whole vectors.
     """
+    posted = cut(posted.where("doc_id is not null and term is not null").select("doc_id", "term", "tf"))
     n = posted.select("doc_id").distinct().count()
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= most_docs)
-    weighted = posted.join(df, "term").withColumn("w", F.col("tf") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    strongest = weighted.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("w"), "term"))).where(F.col("_n") <= top_terms)
-    norm = strongest.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = strongest.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = (unit.select("term", F.col("doc_id").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    firsts = copies(posted).select(F.col("representative").alias("_r")).distinct()
+    own = posted.join(firsts, F.col("doc_id") == F.col("_r"), "left_semi").join(df, "term")
+    weighted = cut(own.select("doc_id", "term", "df", (F.col("tf") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
+    norm = weighted.groupBy(F.col("doc_id").alias("_d")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = cut(weighted.join(norm, F.col("doc_id") == F.col("_d")).select("doc_id", "term", "df", (F.col("w") / F.col("norm")).alias("w")))
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The squares of this term and all after it, a little above the threshold against rounding.
+    prefix = cut(unit.withColumn("_rest", rest).where(F.col("_rest") >= threshold * threshold - 1e-9).select("doc_id", "term"))
+    a, b = (prefix.select("term", F.col("doc_id").alias(c)) for c in "ab")
+    pairs = cut(a.join(b, "term").where("a < b").select("a", "b").distinct())
+    wa, wb = (unit.select(F.col("doc_id").alias(f"_{c}"), F.col("term").alias(f"_t{c}"), F.col("w").alias(f"_w{c}")) for c in "ab")
+    met = pairs.join(wa, F.col("a") == F.col("_a")).join(wb, (F.col("b") == F.col("_b")) & (F.col("_ta") == F.col("_tb")))
+    return met.groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def copies(posted: DataFrame) -> DataFrame:
+    """doc_id and representative: the smallest id with the same terms and counts (by two order-free sums of their hashes)."""
+    row = F.struct("term", "tf")
+    bits = [F.xxhash64(F.lit(seed), row).cast("decimal(20,0)") for seed in (1, 2)]
+    marks = posted.groupBy("doc_id").agg(F.count("*").alias("_k"), F.sum(bits[0]).alias("_x"), F.sum(bits[1]).alias("_y"))
+    least = marks.groupBy(F.col("_k").alias("_k2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2")).agg(F.min("doc_id").alias("representative"))
+    return marks.join(least, (F.col("_k") == F.col("_k2")) & (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2"))).select("doc_id", "representative")
 
 
 def co_citations(edges: DataFrame, seeds: DataFrame, least: int = 2) -> DataFrame:

@@ -53,14 +53,17 @@ def replace_ghosts(docs: DataFrame, titles: DataFrame) -> DataFrame:
     return near.groupBy("ghost").agg(F.count("*").alias("n"), F.min("key").alias("target")).where("n = 1").drop("n")
 
 
-def shared_tag_peers(docs: DataFrame, most: int = 8, most_docs: int = 1000) -> DataFrame:
-    """doc_id and peers: up to `most` documents that share a tag, the last names first; tags of over most_docs say nothing."""
+def shared_tag_peers(docs: DataFrame, most: int = 8) -> DataFrame:
+    """doc_id and peers: up to `most` documents that share a tag, the last names first (docs: doc_id, title, tags).
+
+    Only a tag's last most + 1 documents can be among anyone's peers, so each document meets no more than these of a tag.
+    """
     from pyspark.sql import Window
 
-    tagged = docs.select("doc_id", "title", F.explode("tags").alias("tag"))
-    useful = tagged.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") <= most_docs)
-    tagged = tagged.join(useful, "tag")
-    peers = tagged.join(tagged.select("tag", F.col("doc_id").alias("peer"), F.col("title").alias("peer_title")), "tag").where("doc_id <> peer").select("doc_id", "peer", "peer_title").distinct()
+    tagged = docs.select("doc_id", "title", F.explode("tags").alias("tag")).distinct()
+    last = Window.partitionBy("tag").orderBy(F.desc("title"), "doc_id")
+    offered = tagged.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= most + 1).select("tag", F.col("doc_id").alias("peer"), F.col("title").alias("peer_title"))
+    peers = tagged.join(offered, "tag").where("doc_id <> peer").select("doc_id", "peer", "peer_title").distinct()
     w = Window.partitionBy("doc_id").orderBy(F.desc("peer_title"), "peer")
     return peers.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).groupBy("doc_id").agg(F.array_sort(F.collect_list("peer")).alias("peers"))
 

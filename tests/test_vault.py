@@ -1,6 +1,7 @@
 """Parsing, link graph, ranks and lint on the small vault, with values computed by hand or asserted as known."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,48 @@ def test_recall(docs):
     assert got["around", "n4"]["place"] == 1 and got["around", "n4"]["score"] == 2 + 3 + 0.2 * 4 and ("around", "p") in got
     text = {r["role"]: r["markdown"] for r in recall.render(recall.bundle(hits, edges, own, [], seeds=2)).collect()}
     assert text["core"].startswith("## core\n### C1\n# C1")
+
+
+def test_cut_points_against_brute_force(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(34)] + [(1, 1)]
+    near: dict = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = []
+    for v in near:
+        left, sizes = set(near[v]), []
+        while left:
+            seen = todo = {next(iter(left))}
+            while todo:
+                todo = {y for x in todo for y in near[x]} - seen - {v}
+                seen = seen | todo
+            sizes.append(len(seen))
+            left -= seen
+        if len(sizes) > 1:
+            want.append((v, sum(sizes) - max(sizes)))
+    assert values(graph.cut_points(spark.createDataFrame(pairs, "src long, dst long")), "node", "stranded") == sorted(want)
+    assert graph.cut_points(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_communities_of_joined_cliques(spark):
+    cliques = [(g * 6 + i, g * 6 + j, 1.0) for g in range(4) for i in range(6) for j in range(i)] + [(g * 6, (g + 1) % 4 * 6, 1.0) for g in range(4)]
+    found = graph.communities(spark.createDataFrame(cliques, "src long, dst long, weight double")).collect()
+    assert {r["node"]: r["community"] for r in found} == {x: x // 6 * 6 for x in range(24)}
+
+
+def test_similar_pairs_against_brute_force(spark):
+    rng = random.Random(5)
+    docs = {d: [f"w{int(rng.expovariate(0.15))}" for _ in range(12)] for d in range(40)}
+    docs[40] = docs[7]  # a copy is its representative's member
+    tf = {d: {t: w.count(t) for t in w} for d, w in docs.items()}
+    df = {t: sum(t in x for x in tf.values()) for x in tf.values() for t in x}
+    vec = {d: {t: c * math.log(1 + (41 - df[t] + 0.5) / (df[t] + 0.5)) for t, c in x.items()} for d, x in tf.items()}
+    size = {d: math.sqrt(sum(w * w for w in v.values())) for d, v in vec.items()}
+    want = {(a, b): sum(w * vec[b].get(t, 0.0) for t, w in vec[a].items()) / size[a] / size[b] for a in range(40) for b in range(a + 1, 40)}
+    posted = spark.createDataFrame([(d, t, c) for d, x in tf.items() for t, c in x.items()], "doc_id long, term string, tf long")
+    got = {(r["a"], r["b"]): r["similarity"] for r in graph.similar_pairs(posted, 0.3).collect()}
+    assert got.keys() == {k for k, v in want.items() if v >= 0.3} and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    assert {r["doc_id"]: r["representative"] for r in graph.copies(posted).where("doc_id <> representative").collect()} == {40: 7}
