@@ -157,6 +157,12 @@ def text_chunks(spark, d):
     return chunks.chunk(_docs(spark, d).select("doc_id", F.col("source").alias("section_id"), "text")).select("doc_id", "idx", "id", F.length("content").alias("n"))
 
 
+def similar_documents(spark, d):
+    """Pairs of different documents with a cosine of 0.8 or more; documents with equal term counts are one, named by the smallest id."""
+    posted = index.postings(_docs(spark, d))
+    return graph.similar_pairs(posted, 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
 def recommended_feed(spark, d):
     """Events as posts (likes: their JSON count); each user follows the three users after them."""
     e = table(spark, d, "events")
@@ -455,7 +461,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_server_topk, bm25_app_topk, tfidf_bot_topk, direct_search, keyword_fallback, doc_freq, doc_len_stats, vocab_top, source_keywords,
-        corpus_fingerprint, exact_duplicates, vector_topk, label_centroids, maxpool_label, rrf_fusion, hotness_rerank, session_search, context_terms, pmi_synonyms, leak_windows, text_chunks, recommended_feed,
+        corpus_fingerprint, exact_duplicates, vector_topk, label_centroids, maxpool_label, rrf_fusion, hotness_rerank, session_search, context_terms, pmi_synonyms, leak_windows, text_chunks, similar_documents, recommended_feed,
         page_links, page_inlinks, phantom_targets, page_titles, host_pages, trade_degrees, trade_strength, trade_hubs, pagerank_directed, pagerank_undirected,
         personalised_pagerank, part_supplier_components, bfs_hops, bridge_nations, co_cited_nations, trade_communities,
         cdc_latest, cdc_live, cdc_page, version_retention, previous_version, cache_actions, changes_by_month, running_budget, last_turns, turn_growth,

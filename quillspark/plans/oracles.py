@@ -118,6 +118,10 @@ ORACLES = {
     "leak_windows": """WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM benchmark),
         w AS (SELECT item_id, substr(t, unnest(range(1, length(t) - 38, 4)), 40) AS w FROM b WHERE length(t) >= 40)
         SELECT DISTINCT item_id AS private_id, doc_id AS probe_id FROM d, w WHERE contains(t, w)""",
+    "similar_documents": f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), m AS (SELECT doc_id, list(term || ' ' || tf ORDER BY term) AS bag FROM p GROUP BY 1),
+        r AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY bag), n AS (SELECT count(DISTINCT doc_id) AS n FROM p), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+        w AS (SELECT p.doc_id, p.term, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM p JOIN r ON p.doc_id = r.doc_id JOIN df ON p.term = df.term, n), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)
+        SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8""",
     "recommended_feed": """WITH post AS (SELECT event_id AS post_id, user_id AS author_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS likes FROM events), u AS (SELECT DISTINCT user_id AS reader FROM events),
         f AS (SELECT reader, reader + k AS author_id FROM u, (VALUES (1), (2), (3)) v(k)), own AS (SELECT reader, post_id, row_number() OVER (PARTITION BY reader ORDER BY post_id DESC) AS n FROM f JOIN post USING (author_id)),
         top AS (SELECT post_id, row_number() OVER (ORDER BY likes DESC, post_id) AS n FROM post QUALIFY n <= 10), a AS (SELECT reader, post_id, -n AS at_ FROM own WHERE n <= 20 UNION ALL SELECT reader, post_id, 1000000000 + n FROM u, top),
