@@ -34,3 +34,10 @@ def statistics(docs: DataFrame, dimensions: list[str]) -> DataFrame:
     """Counts by each dimension and in total, in one pass of grouping sets."""
     sets = [[F.col(d)] for d in dimensions] + [[]]
     return docs.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+def coverage(docs: DataFrame, indexed: DataFrame, by: list[str], gate: float = 0.8) -> DataFrame:
+    """total, embedded and pending documents (doc_id) by columns, and whether the share in the index (doc_id) reaches the gate."""
+    held = indexed.select(F.col("doc_id").alias("_held")).distinct()
+    counts = docs.join(held, F.col("doc_id") == F.col("_held"), "left").groupBy(*by).agg(F.count("*").alias("total"), F.count("_held").alias("embedded"))
+    return counts.select(*by, "total", "embedded", (F.col("total") - F.col("embedded")).alias("pending"), (F.col("embedded") >= gate * F.col("total")).alias("ready"))

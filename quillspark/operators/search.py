@@ -75,6 +75,24 @@ def deduplicate_versions(hits: DataFrame, name: Column) -> DataFrame:
     return hits.withColumn("_base", base).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_base", "_n")
 
 
+def best_section(sections: DataFrame, query: list[str]) -> DataFrame:
+    """doc_id, pos and hits: each document's section (doc_id, pos, text) with the most query terms, the first among equals.
+
+    Sections without a term are left out before anything is shuffled; null texts hold no term.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    hits = sum((F.contains(low, F.lit(q)).cast("long") for q in sorted(set(query))), F.lit(0).cast("long"))
+    found = sections.select("doc_id", "pos", hits.alias("hits")).where("hits > 0")
+    return found.groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("pos")).alias("back"))).alias("b")).select("doc_id", (-F.col("b.back")).alias("pos"), F.col("b.hits").alias("hits"))
+
+
+def blend(one: DataFrame, other: DataFrame, share: float = 0.3) -> DataFrame:
+    """doc_id and score of two lists of hits with distinct ids: the larger score plus a share of the smaller where both have one."""
+    both = one.select("doc_id", "score").unionByName(other.select("doc_id", "score"))
+    less = F.when(F.count("score") == 2, share * F.min("score")).otherwise(0.0)
+    return both.groupBy("doc_id").agg((F.max("score") + less).alias("score"))
+
+
 def within_budget(rows: DataFrame, group: list[str], order: list, size: Column, budget: int) -> DataFrame:
     """The leading rows of each group whose running size stays within the budget."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -163,6 +163,25 @@ def similar_documents(spark, d):
     return graph.similar_pairs(posted, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
+def best_line(spark, d):
+    """Each document's line with the most search terms."""
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return search.best_section(lines.withColumn("pos", F.col("pos").cast("long")), TERMS)
+
+
+def blended_hits(spark, d):
+    """The best 20 of substring and keyword search in one list."""
+    docs = _docs(spark, d)
+    one = index.top(search.direct(docs, ["src1", *TERMS], F.col("source")), 20)
+    return search.blend(one, index.top(search.keyword(docs, ["src2", *TERMS], F.col("source")), 20)).withColumn("score", F.round("score", 9))
+
+
+def index_coverage(spark, d):
+    """How much of each source has a vector."""
+    held = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return audit.coverage(_docs(spark, d), held, ["source"])
+
+
 def recommended_feed(spark, d):
     """Events as posts (likes: their JSON count); each user follows the three users after them."""
     e = table(spark, d, "events")
@@ -461,7 +480,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_server_topk, bm25_app_topk, tfidf_bot_topk, direct_search, keyword_fallback, doc_freq, doc_len_stats, vocab_top, source_keywords,
-        corpus_fingerprint, exact_duplicates, vector_topk, label_centroids, maxpool_label, rrf_fusion, hotness_rerank, session_search, context_terms, pmi_synonyms, leak_windows, text_chunks, similar_documents, recommended_feed,
+        corpus_fingerprint, exact_duplicates, vector_topk, label_centroids, maxpool_label, rrf_fusion, hotness_rerank, session_search, context_terms, pmi_synonyms, leak_windows, text_chunks, similar_documents, best_line, blended_hits, index_coverage, recommended_feed,
         page_links, page_inlinks, phantom_targets, page_titles, host_pages, trade_degrees, trade_strength, trade_hubs, pagerank_directed, pagerank_undirected,
         personalised_pagerank, part_supplier_components, bfs_hops, bridge_nations, co_cited_nations, trade_communities,
         cdc_latest, cdc_live, cdc_page, version_retention, previous_version, cache_actions, changes_by_month, running_budget, last_turns, turn_growth,

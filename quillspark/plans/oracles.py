@@ -122,6 +122,10 @@ ORACLES = {
         r AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY bag), n AS (SELECT count(DISTINCT doc_id) AS n FROM p), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
         w AS (SELECT p.doc_id, p.term, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM p JOIN r ON p.doc_id = r.doc_id JOIN df ON p.term = df.term, n), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)
         SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8""",
+    "best_line": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+        h AS (SELECT doc_id, pos, {_sum([f"contains(lower(t), '{q}')::BIGINT" for q in TERMS])}::BIGINT AS hits FROM l) SELECT doc_id, pos, hits FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos) = 1""",
+    "index_coverage": """WITH c AS (SELECT source, count(*) AS total, count_if(doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)) AS embedded FROM documents GROUP BY 1)
+        SELECT source, total, embedded, total - embedded AS pending, embedded >= 0.8::DOUBLE * total AS ready FROM c""",
     "recommended_feed": """WITH post AS (SELECT event_id AS post_id, user_id AS author_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS likes FROM events), u AS (SELECT DISTINCT user_id AS reader FROM events),
         f AS (SELECT reader, reader + k AS author_id FROM u, (VALUES (1), (2), (3)) v(k)), own AS (SELECT reader, post_id, row_number() OVER (PARTITION BY reader ORDER BY post_id DESC) AS n FROM f JOIN post USING (author_id)),
         top AS (SELECT post_id, row_number() OVER (ORDER BY likes DESC, post_id) AS n FROM post QUALIFY n <= 10), a AS (SELECT reader, post_id, -n AS at_ FROM own WHERE n <= 20 UNION ALL SELECT reader, post_id, 1000000000 + n FROM u, top),
@@ -180,3 +184,5 @@ ORACLES = {
         SELECT nation, 'customers' AS side FROM (SELECT * FROM c EXCEPT SELECT * FROM s) UNION ALL SELECT nation, 'suppliers' FROM (SELECT * FROM s EXCEPT SELECT * FROM c) UNION ALL SELECT nation, 'both' FROM (SELECT * FROM c INTERSECT SELECT * FROM s)""",
     "visible_rows": "SELECT source, count(*) AS n FROM documents WHERE regexp_extract(source, '([0-9]+)$', 1)::INT % 5 <> 0 OR source = 'src5' GROUP BY 1",
 }
+ORACLES["blended_hits"] = f"""SELECT doc_id, round(max(score) + CASE WHEN count(*) = 2 THEN 0.3::DOUBLE * min(score) ELSE 0 END, 9) AS score
+    FROM (SELECT doc_id, score FROM ({ORACLES["direct_search"]}) UNION ALL SELECT doc_id, score FROM ({ORACLES["keyword_fallback"]})) GROUP BY doc_id"""
