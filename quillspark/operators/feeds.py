@@ -63,3 +63,14 @@ def conflicts(base: DataFrame, local: DataFrame, remote: DataFrame, key: str, ve
         .when(there & F.col("_remote").isNull(), "delete-local").when(there, "pull").when(F.col("_local").isNull(), "delete-remote").otherwise("push")
     )
     return joined.select(key, action.alias("action"))
+
+
+def in_scope(rows: DataFrame, folders: list[str], tags: list[str]) -> DataFrame:
+    """Rows (path, tags) in one of a member's folders or with one of their tags; a member without either sees all."""
+    if not folders and not tags:
+        return rows
+    path = F.coalesce(F.col("path"), F.lit(""))
+    held = F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]).cast("array<string>")), F.lit(False))
+    for folder in folders:
+        held = held | F.startswith(path, F.lit(f"{folder.rstrip('/')}/"))
+    return rows.where(held)

@@ -476,6 +476,12 @@ def visible_rows(spark, d):
     return feeds.visible(_docs(spark, d).withColumn("path", path), "src5").groupBy("source").agg(F.count("*").alias("n"))
 
 
+def member_scope(spark, d):
+    """Documents of one source or one language, as a member's folder and tag, counted by language."""
+    rows = _docs(spark, d).withColumns({"path": F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")), "tags": F.array("lang")})
+    return feeds.in_scope(rows, ["src3"], ["fr"]).groupBy("lang").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -486,6 +492,6 @@ QUERIES = {
         cdc_latest, cdc_live, cdc_page, version_retention, previous_version, cache_actions, changes_by_month, running_budget, last_turns, turn_growth,
         quality_audit, size_histogram, grouping_statistics, label_quality, unlabelled_by_source, lang_pivot, natural_order,
         tumbling_hour, sliding_hour, session_debounce, cooldown, activity_heat, usage_cost, json_props,
-        star_revenue, rollup_segments, cube_lines, idle_customers, set_operations, visible_rows,
+        star_revenue, rollup_segments, cube_lines, idle_customers, set_operations, visible_rows, member_scope,
     )
 }

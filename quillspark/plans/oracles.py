@@ -182,6 +182,7 @@ ORACLES = {
     "idle_customers": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "set_operations": """WITH c AS (SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000), s AS (SELECT DISTINCT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000)
         SELECT nation, 'customers' AS side FROM (SELECT * FROM c EXCEPT SELECT * FROM s) UNION ALL SELECT nation, 'suppliers' FROM (SELECT * FROM s EXCEPT SELECT * FROM c) UNION ALL SELECT nation, 'both' FROM (SELECT * FROM c INTERSECT SELECT * FROM s)""",
+    "member_scope": "SELECT lang, count(*) AS n FROM documents WHERE coalesce(lang = 'fr', false) OR (coalesce(source = 'src3', false) AND doc_id IS NOT NULL) GROUP BY lang",
     "visible_rows": "SELECT source, count(*) AS n FROM documents WHERE regexp_extract(source, '([0-9]+)$', 1)::INT % 5 <> 0 OR source = 'src5' GROUP BY 1",
 }
 ORACLES["blended_hits"] = f"""SELECT doc_id, round(max(score) + CASE WHEN count(*) = 2 THEN 0.3::DOUBLE * min(score) ELSE 0 END, 9) AS score
