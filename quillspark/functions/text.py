@@ -62,14 +62,21 @@ def image_embeds(body: Column) -> Column:
 
 
 def filename_date(name: Column) -> Column:
-    """The first date in a file name (2026-09-12, 2026.09.12, 20260912 or 260912; two-digit years from 50 are 19yy)."""
+    """The first date in a file name (2026-09-12, 2026.09.12, 20260912, 26_09_12 or 260912; two-digit years from 50 are 19yy)."""
     full = F.regexp_extract(name, r"(?<!\d)((?:19|20)\d{2})[-._]?(\d{2})[-._]?(\d{2})(?!\d)", 0)
     digits = F.regexp_replace(full, r"\D", "")
-    short = F.regexp_extract(name, r"(?<!\d)(\d{6})(?!\d)", 1)
+    short = F.regexp_replace(F.regexp_extract(name, r"(?<!\d)(?:\d{2}[-_]\d{2}[-_]\d{2}|\d{6})(?!\d)", 0), r"\D", "")
     year = F.when(F.substring(short, 1, 2) >= "50", F.lit("19")).otherwise(F.lit("20"))
     return F.coalesce(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), F.try_to_date(F.when(short != "", F.concat(year, short)), "yyyyMMdd"))
 
 
+def content_date(name: Column, date: Column, mtime_ms: Column, latest: Column) -> Column:
+    """The day of a file name if it isn't past `latest`, else of the frontmatter, else of the change; null without any."""
+    named = filename_date(name)
+    changed = F.to_date(F.timestamp_millis(F.when(mtime_ms > 0, mtime_ms)))
+    return F.coalesce(F.when(named <= latest, named), F.try_to_date(date, "yyyy-MM-dd"), changed)
+
+
 def occurrences(text: Column, term: Column) -> Column:
     """Non-overlapping occurrences of a term."""
     return F.when(F.length(term) > 0, (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).otherwise(0).cast("int")
