@@ -97,3 +97,60 @@ def excerpt(text: Column, budget: int) -> Column:
     at = F.length(head) - F.instr(F.reverse(head), "\n\n") - 1
     cut = F.when((F.instr(head, "\n\n") > 0) & (at > 0.6 * budget), head.substr(F.lit(1), at)).otherwise(head)
     return F.when(F.length(text) <= budget, text).otherwise(F.rtrim(cut))
+
+
+# Particles, the longest first, and units that numbers are split from.
+PARTICLES = (
+    "이라는", "이라고", "에서는", "에게서", "한테서", "으로서", "으로써", "으로는", "에서의", "으로의", "에서도", "으로도", "이라", "에서", "에게", "한테", "까지", "부터", "처럼", "같은", "같이",
+    "만큼", "으로", "이랑", "라는", "라고", "이란", "에는", "하고", "님의", "님이", "님을", "님은", "님께", "님도", "님과", "은", "는", "이", "가", "을", "를", "와", "과", "에", "도", "만", "의", "로", "님",
+)
+UNITS = "년|월|일|주|시간|시|분|초|개|명|번|회|차"
+BREAKS = r"[\s,.\-_?!;:()\[\]{}'\"《》「」【】]+"
+
+
+def _words(text: Column) -> Column:
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(\d+)({UNITS})", "$1 $2")
+    return F.filter(F.split(F.lower(spaced), BREAKS), lambda w: F.length(w) > 1)
+
+
+def _stem(word: Column) -> Column:
+    """The word without its particle, the longest that leaves two characters or more."""
+    # The kept part is matched lazily, so that the longest particle goes.
+    return F.regexp_replace(word, rf"^(.{{2,}}?)(?:{'|'.join(PARTICLES)})$", "$1")
+
+
+def _pairs(stem: Column) -> Column:
+    s = F.regexp_replace(stem, "[^가-힣]", "")
+    n = F.length(s)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: s.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
+def _padded(text: Column) -> Column:
+    """Days and months of one digit, with a zero before them."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<!\d)(\d{1,2})\s*(?:월|일)"), F.lit(1))
+    return F.transform(F.filter(found, lambda x: F.length(x) == 1), lambda x: F.lpad(x, 2, "0"))
+
+
+def primary_stems(text: Column) -> Column:
+    """Words of two characters or more and what is left of them without a particle, then padded days and months."""
+    both = F.flatten(F.transform(_words(text), lambda w: F.array_distinct(F.array(w, _stem(w)))))
+    return F.concat(both, _padded(text))
+
+
+def sub_stems(text: Column) -> Column:
+    """Pairs of neighbouring syllables of stems that have three or more."""
+    return F.flatten(F.transform(_words(text), lambda w: _pairs(_stem(w))))
+
+
+def weighted_stems(query: Column, share: float = 0.3) -> Column:
+    """Each term of a query with its weight: 1, or a share if it is a pair of syllables alone."""
+    first = F.array_distinct(primary_stems(query))
+    rest = F.array_except(sub_stems(query), first)
+    return F.map_from_entries(F.concat(F.transform(first, lambda t: F.struct(t.alias("key"), F.lit(1.0).alias("value"))), F.transform(rest, lambda t: F.struct(t.alias("key"), F.lit(share).alias("value")))))
+
+
+def segments(text: Column) -> Column:
+    """A text cut into plain runs and [[links]], in order: structs of kind (text or link) and value, without empty runs."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[\[[^\]]+\]\]|(?:(?!\[\[[^\]]+\]\])(?s:.))+"), F.lit(0))
+    link = lambda p: p.rlike(r"\A\[\[[^\]]+\]\]\z")
+    return F.transform(parts, lambda p: F.struct(F.when(link(p), "link").otherwise("text").alias("kind"), F.when(link(p), F.regexp_replace(p, r"\A\[\[|\]\]\z", "")).otherwise(p).alias("value")))
