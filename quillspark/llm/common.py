@@ -105,12 +105,13 @@ def ranked(df: DataFrame, group: list[str], order: list[str], block: Column, fin
     df, inner = df.withColumn("_block", block), []
     if finer is not None:
         big = df.groupBy(*named, F.col("_block").alias("_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-        met = df.join(big.hint("shuffle_hash"), reduce(lambda a, b: a & b, same) & F.col("_block").eqNullSafe(F.col("_b")), "left")
+        met = df.join(small_side(stored(big, "large-blocks")), reduce(lambda a, b: a & b, same) & F.col("_block").eqNullSafe(F.col("_b")), "left")
         df = stored(met.withColumn("_finer", F.when(F.col("_n").isNotNull(), finer)).drop(*keys, "_b", "_n"), "blocks")
         inner = ["_finer"]
-    counts = df.groupBy(*named, F.col("_block").alias("_b"), *[F.col(c).alias("_f") for c in inner]).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b", *["_f" for _ in inner]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").hint("shuffle_hash")
-    inside = df.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_block", *inner).orderBy(*order)) - 1)
-    on = reduce(lambda a, b: a & b, [*same, F.col("_block").eqNullSafe(F.col("_b")), *[F.col(c).eqNullSafe(F.col("_f")) for c in inner]])
-    return inside.join(starts, on).withColumn("rank", F.col("_start") + F.col("_i")).drop("_block", "_finer", "_b", "_f", "_i", "_start", *keys)
+    # One key for the window and the join, in which nulls are equal: the rows are shuffled once.
+    df = df.withColumn("_key", F.struct(*[F.col(g).alias(k) for g, k in zip(group, keys)], "_block", *inner))
+    counts = df.groupBy(F.col("_key").alias("_k")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*[f"_k.{k}" for k in keys]).orderBy("_k._block", *[f"_k.{c}" for c in inner]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).hint("shuffle_hash")
+    inside = df.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy(*order)) - 1)
+    return inside.join(starts, F.col("_key") == F.col("_k")).withColumn("rank", F.col("_start") + F.col("_i")).drop("_block", "_finer", "_key", "_k", "_i", "_start")

@@ -22,9 +22,8 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     several results the first counts; the others, and those before any call, follow as rows without arguments.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    for role, name in (("user", "_user"), ("system", "_system")):
-        turns = tool_calls.with_earlier(turns, F.when(F.col("role") == role, F.col("turn")), name)
-    turns = stored(turns, "turns")
+    said = lambda role: F.when(F.col("role") == role, F.col("turn"))
+    turns = stored(tool_calls.with_earlier(turns, {"_user": said("user"), "_system": said("system")}), "turns")
     id_of = lambda turn: F.when(F.col(turn).isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), F.col(turn).cast("string")))
     user = F.col("role") == "user"
     calls = turns.where("role in ('user', 'system')").select(

@@ -30,19 +30,22 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-def with_earlier(df: DataFrame, value: Column, name: str, block: int = 256) -> DataFrame:
-    """Add `name`: the largest value of the conversation's earlier turns (null if there is none).
+def with_earlier(df: DataFrame, values: dict[str, Column], block: int = 256) -> DataFrame:
+    """Add for each name the largest value of the conversation's earlier turns (null if there is none).
 
     Turns are dealt in blocks, so that a long conversation meets in no task: inside a block a window looks back, and of
-    whole blocks before it the largest values, one for each block, are carried on.
+    whole blocks before it the largest values, one for each block, are carried on. Join and window have one key, in
+    which nulls are equal, so that the texts are shuffled once.
     """
-    df = df.withColumns({"_block": F.floor(F.col("turn") / block), "_value": value})
-    tops = df.groupBy(F.col("conv_id").alias("_c"), F.col("_block").alias("_b")).agg(F.max("_value").alias("_top"))
-    before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_c", "_b", F.max("_top").over(before).alias("_earlier")).hint("shuffle_hash")
-    inside = Window.partitionBy("conv_id", "_block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    joined = df.join(tops, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_block").eqNullSafe(F.col("_b")), "left")
-    return joined.withColumn(name, F.coalesce(F.max("_value").over(inside), F.col("_earlier"))).drop("_block", "_value", "_c", "_b", "_earlier")
+    names = list(values)
+    df = df.withColumns({"_key": F.struct("conv_id", F.floor(F.col("turn") / block).alias("block")), **{f"_v{i}": v for i, v in enumerate(values.values())}})
+    tops = df.groupBy(F.col("_key").alias("_k")).agg(*[F.max(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
+    before = Window.partitionBy("_k.conv_id").orderBy("_k.block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_k", *[F.max(f"_t{i}").over(before).alias(f"_e{i}") for i in range(len(names))]).hint("shuffle_hash")
+    inside = Window.partitionBy("_key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    joined = df.join(tops, F.col("_key") == F.col("_k"), "left")
+    found = joined.withColumns({n: F.coalesce(F.max(f"_v{i}").over(inside), F.col(f"_e{i}")) for i, n in enumerate(names)})
+    return found.drop("_key", "_k", *[f"_{c}{i}" for c in "ve" for i in range(len(names))])
 
 
 def canonical(c: Column) -> Column:
@@ -136,14 +139,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     checked = problems(schemas, calls.drop("parent_ids")).withColumns({"result": F.lit(None).cast("string"), "result_turn": F.lit(None).cast(results.schema["turn"].dataType), "level": F.lit(None).cast("long")})
     # Calls without an identifier meet nothing; in the joins they would all go to one task.
     known = checked.where("call_id is not null").drop("result", "result_turn", "level")
-    first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "pos")).alias("_first")).withColumnRenamed("call_id", "_cid").hint("shuffle_hash")
+    first = calls.where("call_id is not null").groupBy(F.col("call_id").alias("_cid")).agg(F.min(F.struct("turn", "pos")).alias("_first"))
     level = levels(calls).withColumnRenamed("call_id", "_lid").hint("shuffle_hash")
-    linked = (
-        known.join(first, F.col("call_id") == F.col("_cid"), "left")
-        .join(level, F.col("call_id") == F.col("_lid"), "left")
-        .join(first_results(results).hint("shuffle_hash"), (F.col("call_id") == F.col("_rid")) & (F.struct("turn", "pos") == F.col("_first")), "left")
-        .select(*known.columns, F.col("_r.content").alias("result"), F.col("_r.turn").alias("result_turn"), "level")
-    )
+    # What is known of an identifier comes together first, so that the calls' arguments are shuffled once.
+    about = first.join(level, F.col("_cid") == F.col("_lid"), "left").join(first_results(results).hint("shuffle_hash"), F.col("_cid") == F.col("_rid"), "left").select("_cid", "_first", "level", "_r")
+    got = lambda c: F.when(F.struct("turn", "pos") == F.col("_first"), F.col(f"_r.{c}"))
+    linked = known.join(about.hint("shuffle_hash"), F.col("call_id") == F.col("_cid"), "left").select(*known.columns, got("content").alias("result"), got("turn").alias("result_turn"), "level")
     out = stored(linked.unionByName(checked.where("call_id is null")).select("conv_id", "turn", "pos", "call_id", "name", "arguments", "errors", "result", "result_turn", "level"), "linked-calls")
     # Blocks of levels, cut up by turns where many calls share one; calls without a level come last.
     block = F.coalesce(F.floor(F.col("level") / 64), F.lit(1 << 40))
