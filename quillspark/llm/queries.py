@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import decontam, html_extract, ngram_lm, packing, pii, quality, secrets, simhash, tool_calls, url_filter
+from quillspark.llm import blas_search, decontam, html_extract, ngram_lm, packing, pii, prefix_trie, quality, secrets, simhash, slots, tool_calls, url_filter
 from quillspark.llm.common import stored, table
 
 
@@ -84,7 +84,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, n=5)
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination)}
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = slots.sharded(table(spark, sf_dir, "documents"), slots.SlotParams(slots=8192, shards=24))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op12_blas_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blas_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_extraction, op2_tool_calls, op3_pii, op4_ngram_trie, op5_simhash_dedup, op6_secret_scan, op7_packing, op8_quality_rules, op9_url_filter, op10_decontamination, op11_virtual_slots, op12_blas_search, op13_prefix_trie)}
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
@@ -124,4 +137,28 @@ WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id,
 d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM dw WHERE len(w) >= 5), b AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM bw WHERE len(w) >= 5),
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_item, n_shared, n_shared::DOUBLE / n_item AS containment FROM hit JOIN n USING (item_id) WHERE n_shared::DOUBLE / n_item >= 0.8""",
+    "op12_blas_search": """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM b) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, g GROUP BY term, docs),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * docs) // total) AS m FROM d, g),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM b JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, count(*) AS n, own_h AS h FROM (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS own_h FROM t) GROUP BY c, own_h),
+e AS (SELECT k.c, least(k.h, coalesce(b.n, 0)) AS head, k.h FROM k LEFT JOIN k AS b ON b.c = k.c - k.c % 5),
+x AS (SELECT e.c, t.i + 1 AS d, role, text FROM e JOIN t ON t.c = e.c - e.c % 5 AND t.i < e.head UNION ALL SELECT e.c, e.head + t.i - e.h + 1, role, text FROM e JOIN t ON t.c = e.c AND t.i >= e.h),
+r AS (SELECT c, d, octet_length(encode(text)) AS bytes, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, ';') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS p, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS last FROM x
+  UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM x) FROM k),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends FROM r GROUP BY p, d),
+u AS (SELECT DISTINCT a.p AS up, b.p AS down FROM r AS a JOIN r AS b ON a.c = b.c AND b.d = a.d + 1),
+s AS (SELECT DISTINCT a.p AS top, b.p AS p FROM r AS a JOIN r AS b ON a.c = b.c AND b.d >= a.d),
+a AS (SELECT top, sum((n_convs - 1) * bytes)::BIGINT AS saved, count(*) FILTER (p NOT IN (SELECT up FROM u)) AS leaves FROM s JOIN n USING (p) GROUP BY top)
+SELECT n.conv_id, n.d AS depth, y.conv_id AS parent_conv_id, n.n_convs, (SELECT count(*) FROM u WHERE up = n.p) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN a ON a.top = n.p LEFT JOIN u ON u.down = n.p LEFT JOIN n AS y ON y.p = u.up""",
 }
