@@ -13,6 +13,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 SKIPPED = frozenset("script style noscript template head title nav header footer aside menu form button select option textarea input iframe object embed svg canvas audio video dialog".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that carry a text's own parts: their names tell what the text is about, not that it is boilerplate.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption article main html body".split())
 #: Words that name boilerplate when they end a class, id or role (RELATED: begin it), and words that may follow them.

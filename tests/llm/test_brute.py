@@ -326,7 +326,7 @@ def test_html_template(spark):
     for i in range(30):
         body = [prose(r, 30), prose(r, 20)]
         rows.append((i, f"http://h.example/{i}", f"<html><head><title>t</title><style>p{{}}</style></head><body><header>Top</header><div class='menu'>{prose(r, 4)}</div><div class=story><div class=by>Posted on {i} by staff</div><p>All rights reserved.</p><p>{body[0]}</p>\n<p>{body[1]} &lt;x&gt;</p><div id='comments'>{prose(r, 9)}</div></div><aside>{prose(r, 9)}</aside><script>x='<p>no</p>'</script></body></html>"))
-        want[i] = f"{i} {body[0]} {body[1]} <x>"
+        want[i] = f"Posted on {i} by staff {body[0]} {body[1]} <x>"
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x["page_id"]: x["text"] for x in html_extract.extract(pages).collect()} == want
 
@@ -352,12 +352,14 @@ def brute_classes(sources, p):
 def test_html_classes(spark):
     """The deduced classes and their nesting are those of whole occurrence vectors; their text leaves the result."""
     r, p = random.Random(12), html_extract.TemplateParams()
-    rows = []
+    rows, texts = [], {}
     for h in range(3):
         for i in range(12):
-            items = "".join(f"<li class=e><b>Item</b> {prose(r, 2)}</li>" for _ in range(r.randint(1, 4)))
-            foot = f"<div class=f>\u00a9 host {h} \u00b7 {prose(r, 3)}</div>"
-            rows.append((100 * h + i, f"http://h{h}.x/{i}", f"<body><div class=t><h1>{prose(r, 4)} | Site {h}</h1><p>Share this</p><ul>{items}</ul><p>{prose(r, 40)}</p>{foot if i or h else ''}</div></body>"))
+            items = [f"Item {prose(r, 2)}" for _ in range(r.randint(1, 4))]
+            foot, head, body = f"\u00a9 host {h} \u00b7 {prose(r, 3)}", f"{prose(r, 4)} | Site {h}", prose(r, 40)
+            listed = "".join(f"<li class=e><b>Item</b>{x[4:]}</li>" for x in items)
+            rows.append((100 * h + i, f"http://h{h}.x/{i}", f"<body><div class=t><h1>{head}</h1><p>Share this page</p><ul>{listed}</ul><p>{body}</p>{f'<div class=f>{foot}</div>' if i or h else ''}</div></body>"))
+            texts[100 * h + i] = " ".join([head, *items, body, *([foot] if i or h else [])])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = defaultdict(lambda: (set(), set()))
     for x in html_extract.classes(pages, p).collect():
@@ -371,8 +373,49 @@ def test_html_classes(spark):
             (parent,) = got[f"h{h}.x", c][1]
             outer = want[frozenset(keys)]
             assert (parent is None) == (outer is None) and (outer is None or outer not in want or frozenset(own[parent]) == outer)
-    for x in html_extract.extract(pages).collect():
-        assert "Share this" not in x["text"] and "| Site" not in x["text"] and ("\u00a9 host" not in x["text"] or x["page_id"] == 0)
+    assert {x["page_id"]: x["text"] for x in html_extract.extract(pages).collect()} == texts
+
+
+def test_html_articles_lose_no_character(spark):
+    """Random articles over few words, on hosts of 8, 20 and 200 pages, with recurring headings and a notice."""
+    r, vocabulary = random.Random(21), "of the and a to in it on by as we at".split()
+    rows, want = [], {}
+    for n in (8, 20, 200):
+        for i in range(n):
+            key = 1000 * n + i
+            words = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
+            one, two = words(r.randint(30, 80)) + " of the " + words(3), words(r.randint(1, 40))
+            notice = "<p>All rights are reserved.</p>" if n == 200 else ""
+            rows.append((key, f"http://h{n}.x/{i}", f"<html><body><header>Top</header><article><h1>Title</h1><h2>Summary</h2><div>{one}</div><section><p>{two}</section>{notice}</article><footer>End</footer></body></html>"))
+            want[key] = f"Title Summary {one} {two}"
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    share = {k: len("All rights are reserved.") <= 0.2 * (len(t) + 24) for k, t in want.items()}
+    assert got == {k: t if k < 200_000 or share[k] else t + " All rights are reserved." for k, t in want.items()}
+
+
+def test_html_classes_choose_the_main_element(spark):
+    """Pages without an article or names that tell anything: furniture that all pages share is longer than what they say."""
+    r = random.Random(22)
+    links = "".join(f"<div><a href=/{k}>{prose(r, 6)}</a></div>" for k in range(12))
+    legal = prose(r, 120)
+    rows, want = [], {}
+    for i in range(15):
+        paragraphs = [prose(r, r.randint(20, 40)) for _ in range(3)]
+        rows.append((i, f"http://plain.x/{i}", f"<html><body><div class=x1>{links}</div><table><tr><td>{prose(r, 2)}</td></tr></table><div class=x2><div><p>{'</p><p>'.join(paragraphs)}</p></div></div><center><div>{legal}</div></center></body></html>"))
+        want[i] = " ".join(paragraphs)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(pages).collect()}
+    assert got == want
+    alone = html_extract.extract(pages.where("page_id = 3")).first()["text"]
+    assert legal in alone and want[3] in alone  # without its host there is no template
+
+
+def test_html_copies_of_a_page_keep_their_text(spark):
+    r = random.Random(23)
+    parts = [prose(r, 30) for _ in range(4)]
+    rows = [(i, "http://c.x/", f"<article><p>{'</p><p>'.join(parts[:3])}</p><p>{parts[3] if i else 'last'}</p></article>") for i in range(12)]
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([*parts[:3], parts[3] if i else "last"]) for i in range(12)}
 
 
 def test_pipeline(spark, corpus, tmp_path):
