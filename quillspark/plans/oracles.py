@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import notes_oracles, upkeep, vault_oracles
+from quillspark.plans import notes_oracles, ranking, upkeep, vault_oracles
 from quillspark.plans.catalog import TERMS
 
 _T = "', '".join(TERMS)
@@ -189,3 +189,4 @@ ORACLES = {
 ORACLES["blended_hits"] = f"""SELECT doc_id, round(max(score) + CASE WHEN count(*) = 2 THEN 0.3::DOUBLE * min(score) ELSE 0 END, 9) AS score
     FROM (SELECT doc_id, score FROM ({ORACLES["direct_search"]}) UNION ALL SELECT doc_id, score FROM ({ORACLES["keyword_fallback"]})) GROUP BY doc_id"""
 ORACLES.update({**vault_oracles.ORACLES, **notes_oracles.ORACLES, **upkeep.ORACLES})
+ORACLES.update({**ranking.ORACLES, "expanded_turns": ranking.expanded_turns_oracle(ORACLES["pmi_synonyms"])})
