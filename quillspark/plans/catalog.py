@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import audit, chunks, feeds, graph, index, search, social, terms
 from quillspark.operators.index import Bm25
-from quillspark.plans import notes, ranking, upkeep, vault
+from quillspark.plans import notes, ranking, streams, upkeep, vault
 from quillspark.session import cut, table
 from quillspark.streaming import events as E
 
@@ -496,4 +496,4 @@ QUERIES = {
         star_revenue, rollup_segments, cube_lines, idle_customers, set_operations, visible_rows, member_scope,
     )
 }
-QUERIES.update({**vault.QUERIES, **notes.QUERIES, **upkeep.QUERIES, **ranking.QUERIES})
+QUERIES.update({**vault.QUERIES, **notes.QUERIES, **upkeep.QUERIES, **ranking.QUERIES, **streams.QUERIES})

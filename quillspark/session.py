@@ -23,18 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Folders of local sessions that name none.
-_LOCAL: dict[SparkSession, str | None] = {}
+_LOCAL: dict[SparkSession, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the cluster's shared folder and read again: iterations neither grow their plans nor lose work."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession) -> str:
+    """What this application stores: a folder of its own below the one that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _LOCAL.setdefault(spark, None) or tempfile.mkdtemp(prefix="quillspark-")
-        _LOCAL[spark] = base
-    path = f"{base.rstrip('/')}/quillspark/step-{uuid.uuid4().hex}"
+        if spark not in _LOCAL:
+            _LOCAL[spark] = tempfile.mkdtemp(prefix="quillspark-")
+        base = _LOCAL[spark]
+    return f"{base.rstrip('/')}/quillspark/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the cluster's shared folder and read again: iterations neither grow their plans nor lose work."""
+    path = new_folder(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
