@@ -65,8 +65,11 @@ class Reactions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         seq, etag, last, waiting, waiting_etag = self.now.get() if self.now.exists() else (-1, None, None, None, None)
-        out = []
+        out, behind = [], timerValues.getCurrentWatermarkInMs()
         for at, s, own in _ordered(rows, ["at", "seq"], ["at", "seq", "etag"]):
+            if at < behind:
+                out.append((key[0], s, at, "dropped"))
+                continue
             if waiting is not None and at >= last + self.cooldown:
                 last, etag = last + self.cooldown, waiting_etag
                 out.append((key[0], waiting, last, "reacted late"))
@@ -105,7 +108,7 @@ def reactions(saves: DataFrame, cooldown_ms: int = 6 * 3_600_000, late: str = "1
     """path, seq, at (ms) and action of a stream of saves (path, seq, etag, ts).
 
     reacted, deferred, superseded (by a later deferred save), reacted late (when the cool-down ends), seen (the version that
-    was reacted to last) or dropped (older than one already met).
+    was reacted to last) or dropped (older than one already met, or behind the watermark, so that late rows can be counted).
     """
     rows = saves.withWatermark("ts", late).select("path", "seq", F.coalesce("etag", F.lit("")).alias("etag"), "ts", F.unix_millis("ts").alias("at"))
     kind = saves.schema["path"].dataType.simpleString()
