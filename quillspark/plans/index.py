@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import markdown
-from quillspark.operators import folding, index
+from quillspark.operators import folding, index, rewrite
 from quillspark.session import new_folder, table
 from quillspark.sources import segments
 
+#: Names and what they link to: a longer one first, one that is a part of it, one with marks, one that isn't there.
+NAMES = [("of the", "Of"), ("the", "The"), ("thing", "thing"), ("de la", "Delta"), ("enheit", "Einheit"), ("of", "Of"), ("no such name", "none"), ("###", "Mark")]
 LOOKED_UP = ["de", "enheit", "of", "que", "the", "then", "thing", "zu"]
 #: A document's lines as paragraphs; every fourth opens a section.
 LAID_OUT = "array_join(transform(split(coalesce(text, ''), '\\n'), (l, i) -> CASE WHEN i % 4 = 3 THEN concat('## part ', CAST(i AS STRING), '\\n', l) ELSE l END), '\\n\\n')"
@@ -48,7 +50,16 @@ def folded_sections(spark, d):
     return found.select("doc_id", "section_id", "heading", F.length("body").cast("long").alias("n"), F.md5("body").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (segment_lookup, compacted_index, folded_sections)}
+def title_mentions(spark, d):
+    """The documents' whole texts with the first mention of each of a thousand names linked: words of the searched kind, pairs of them, and every supplier's and part's name."""
+    docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    stated = spark.createDataFrame([(n, t) for n, t in NAMES], "name string, target string")
+    parts = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("target"))
+    found = rewrite.link_mentions(docs, stated.unionByName(parts))
+    return found.select("doc_id", F.length("body").cast("long").alias("n"), F.md5("body").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (segment_lookup, compacted_index, folded_sections, title_mentions)}
 
 _FINAL = "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 0 THEN text[1:60] ELSE text END AS text FROM documents WHERE doc_id IS NOT NULL AND doc_id % 11 <> 0"
 
