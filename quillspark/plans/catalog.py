@@ -9,7 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import audit, chunks, feeds, graph, index, search, social, terms
 from quillspark.operators.index import Bm25
 from quillspark.plans import index as index_plans
-from quillspark.plans import contexts, notes, ranking, streams, upkeep, vault
+from quillspark.plans import contexts, histories, notes, ranking, streams, upkeep, vault
 from quillspark.session import cut, table
 from quillspark.streaming import events as E
 
@@ -497,4 +497,4 @@ QUERIES = {
         star_revenue, rollup_segments, cube_lines, idle_customers, set_operations, visible_rows, member_scope,
     )
 }
-QUERIES.update({**vault.QUERIES, **notes.QUERIES, **upkeep.QUERIES, **ranking.QUERIES, **streams.QUERIES, **index_plans.QUERIES, **contexts.QUERIES})
+QUERIES.update({**vault.QUERIES, **notes.QUERIES, **upkeep.QUERIES, **ranking.QUERIES, **streams.QUERIES, **index_plans.QUERIES, **contexts.QUERIES, **histories.QUERIES})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import contexts, index, notes_oracles, ranking, streams, upkeep, vault_oracles
+from quillspark.plans import contexts, histories, index, notes_oracles, ranking, streams, upkeep, vault_oracles
 from quillspark.plans.catalog import TERMS
 
 _T = "', '".join(TERMS)
@@ -189,4 +189,4 @@ ORACLES = {
 ORACLES["blended_hits"] = f"""SELECT doc_id, round(max(score) + CASE WHEN count(*) = 2 THEN 0.3::DOUBLE * min(score) ELSE 0 END, 9) AS score
     FROM (SELECT doc_id, score FROM ({ORACLES["direct_search"]}) UNION ALL SELECT doc_id, score FROM ({ORACLES["keyword_fallback"]})) GROUP BY doc_id"""
 ORACLES.update({**vault_oracles.ORACLES, **notes_oracles.ORACLES, **upkeep.ORACLES})
-ORACLES.update({**ranking.ORACLES, **streams.ORACLES, **index.oracles(TOKENS), **contexts.oracles(_bm25(0.75, "least(tf, 255)").replace("{", "{{").replace("}", "}}").replace("LIMIT 10", "LIMIT {k}")), "expanded_turns": ranking.expanded_turns_oracle(ORACLES["pmi_synonyms"])})
+ORACLES.update({**ranking.ORACLES, **streams.ORACLES, **index.oracles(TOKENS), **histories.oracles(TOKENS), **contexts.oracles(_bm25(0.75, "least(tf, 255)").replace("{", "{{").replace("}", "}}").replace("LIMIT 10", "LIMIT {k}")), "expanded_turns": ranking.expanded_turns_oracle(ORACLES["pmi_synonyms"])})
