@@ -17,7 +17,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation as a call or a result.
 
-    A system turn is read as a call of the tool `configure`, a user's turn as a call of `reply`. A call's parents are the
+    A system turn is read as a call of the tool `configure`, a user's turn as a call of `reply`, which must say how many
+    lines its prompt has: turns of a single line leave that out, and such calls are invalid. A call's parents are the
     latest user turn and the latest system turn before it; any other turn is a result for the latest call before it. Of
     several results the first counts; the others, and those before any call, follow as rows without arguments.
     """
@@ -25,15 +26,15 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda role: F.when(F.col("role") == role, F.col("turn"))
     turns = stored(tool_calls.with_earlier(turns, {"_user": said("user"), "_system": said("system")}), "turns")
     id_of = lambda turn: F.when(F.col(turn).isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), F.col(turn).cast("string")))
-    user = F.col("role") == "user"
+    user, lines = F.col("role") == "user", F.size(F.split("text", "\n"))
     calls = turns.where("role in ('user', 'system')").select(
         "conv_id", "turn", F.lit(0).alias("pos"), id_of("turn").alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"),
-        F.when(user, F.to_json(F.struct("turn", F.col("text").alias("prompt")))).otherwise(F.to_json(F.struct(F.col("text").alias("rules")))).alias("arguments"),
+        F.when(user, F.to_json(F.struct("turn", F.col("text").alias("prompt"), F.when(lines > 1, lines).alias("lines")))).otherwise(F.to_json(F.struct(F.col("text").alias("rules")))).alias("arguments"),
         F.array_compact(F.array(id_of("_user"), id_of("_system"))).alias("parent_ids"),
     )
     results = turns.where("role is null or role not in ('user', 'system')").withColumn("_call", F.greatest("_user", "_system")).select("conv_id", id_of("_call").alias("call_id"), "turn", F.col("text").alias("content"))
     string, long = "string", "integer"
-    schemas = spark.createDataFrame([("reply", ["prompt", "turn"], {"prompt": string, "turn": long}), ("configure", ["rules"], {"rules": string})], "name string, required array<string>, types map<string,string>")
+    schemas = spark.createDataFrame([("reply", ["prompt", "turn", "lines"], {"prompt": string, "turn": long, "lines": long}), ("configure", ["rules"], {"rules": string})], "name string, required array<string>, types map<string,string>")
     linked = tool_calls.serialised(tool_calls.link(calls, results, schemas)).withColumn("valid", F.size("errors") == 0)
     lost = tool_calls.unlinked(calls, results).withColumnRenamed("content", "result")
     columns = ["conv_id", "turn", "call_id", "name", "arguments", "valid", "result", "level", "rank", "json"]
@@ -114,7 +115,7 @@ lv(conv_id, turn, level) AS (
   UNION SELECT e.conv_id, e.turn, level + 1 FROM lv JOIN e ON e.conv_id = lv.conv_id AND e.above = lv.turn),
 l AS (SELECT conv_id, turn, max(level) AS level FROM lv GROUP BY 1, 2),
 o AS (SELECT c.conv_id, c.turn, c.conv_id || ':' || c.turn AS call_id, CASE c.role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name,
-  CASE c.role WHEN 'user' THEN json_object('prompt', c.text, 'turn', c.turn) ELSE json_object('rules', c.text) END::VARCHAR AS arguments, c.text IS NOT NULL AS valid, r.text AS result, level,
+  CASE WHEN c.role = 'user' AND contains(c.text, chr(10)) THEN json_object('lines', len(string_split(c.text, chr(10))), 'prompt', c.text, 'turn', c.turn) WHEN c.role = 'user' THEN json_object('prompt', c.text, 'turn', c.turn) ELSE json_object('rules', c.text) END::VARCHAR AS arguments, coalesce(CASE WHEN c.role = 'user' THEN contains(c.text, chr(10)) ELSE c.text IS NOT NULL END, false) AS valid, r.text AS result, level,
   row_number() OVER (PARTITION BY c.conv_id ORDER BY level, c.turn) - 1 AS rank
   FROM c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.own = c.turn AND r.n = 1)
 SELECT *, CASE WHEN result IS NULL THEN json_object('arguments', arguments, 'id', call_id, 'level', level, 'name', name, 'rank', rank)

@@ -153,11 +153,22 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """The rows of results that no call got: of an identifier that no call has, or not the earliest of theirs."""
+    """The rows of results that no call got: without an identifier, of one that no call has, or not the earliest of theirs.
+
+    Of rows that are alike in all columns one at most is a call's result. Rows are compared with the earliest of their
+    identifier, not sorted, and rows without an identifier meet nothing; so no task holds an identifier's results.
+    """
+    columns = results.columns
     ids = calls.where("call_id is not null").select(F.col("call_id").alias("_id")).distinct().hint("shuffle_hash")
-    numbered = results.withColumn("_n", F.when(F.col("call_id").isNotNull(), F.row_number().over(Window.partitionBy("call_id", F.when(F.col("call_id").isNull(), F.col("turn"))).orderBy("turn", "content"))))
-    met = numbered.where("_n = 1").join(ids, F.col("call_id") == F.col("_id"), "left_anti")
-    return met.unionByName(numbered.where("_n > 1 or _n is null")).drop("_n")
+    about = first_results(results).join(ids, F.col("_rid") == F.col("_id"), "left")
+    met = results.where("call_id is not null").join(about, F.col("call_id") == F.col("_rid"))
+    first = F.col("_id").isNotNull() & F.struct("turn", "content").eqNullSafe(F.col("_r"))
+    met = stored(met.select(*columns, first.alias("_first")), "results")
+    copies = met.where("_first").groupBy(*columns).agg(F.count("*").alias("_n"))
+    one = copies.groupBy(F.col("call_id").alias("_c")).agg(F.min(F.struct(*columns)).alias("_one"))
+    left = copies.join(one, F.col("call_id") == F.col("_c")).withColumn("_n", F.col("_n") - F.struct(*columns).eqNullSafe(F.col("_one")).cast("int"))
+    again = left.where("_n > 0").select(F.explode(F.array_repeat(F.struct(*columns), F.col("_n").cast("int"))).alias("_r")).select("_r.*")
+    return results.where("call_id is null").unionByName(met.where("not _first").drop("_first")).unionByName(again)
 
 
 def serialised(linked: DataFrame) -> DataFrame:
