@@ -1,11 +1,11 @@
-"""Versions, chains and memberships over the given tables, and the same in DuckDB SQL."""
+"""Versions, chains, memberships and near vectors over the given tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph, history, index
+from quillspark.operators import graph, history, index, nearest
 from quillspark.session import table
 
 #: A later version of a document: every fifth line gone, every seventh changed, one more after every ninth.
@@ -31,7 +31,13 @@ def similar_members(spark, d):
     return graph.copies(index.postings(table(spark, d, "documents").where("doc_id is not null")))
 
 
-QUERIES = {f.__name__: f for f in (version_diffs, relay_chains, similar_members)}
+def near_vectors(spark, d):
+    """About the ten nearest vectors of every vector whose id is divisible by 50, over all vectors (recall against `vector_topk` is tested)."""
+    v = table(spark, d, "embeddings")
+    return nearest.search(v, v.where("vec_id % 50 = 0"), 10)
+
+
+QUERIES = {f.__name__: f for f in (version_diffs, relay_chains, similar_members, near_vectors)}
 
 
 def oracles(tokens: str) -> dict[str, str]:
