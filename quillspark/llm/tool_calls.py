@@ -160,15 +160,19 @@ def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """
     columns = results.columns
     ids = calls.where("call_id is not null").select(F.col("call_id").alias("_id")).distinct().hint("shuffle_hash")
-    about = first_results(results).join(ids, F.col("_rid") == F.col("_id"), "left")
+    # What is compared is a digest, and only results that came twice or more are counted by their text.
+    seen = lambda turn, content: F.struct(turn, F.sha2(content, 256))
+    about = first_results(results).select("_rid", seen(F.col("_r.turn"), F.col("_r.content")).alias("_seen")).join(ids, F.col("_rid") == F.col("_id"), "left").hint("shuffle_hash")
     met = results.where("call_id is not null").join(about, F.col("call_id") == F.col("_rid"))
-    first = F.col("_id").isNotNull() & F.struct("turn", "content").eqNullSafe(F.col("_r"))
+    first = F.col("_id").isNotNull() & seen(F.col("turn"), F.col("content")).eqNullSafe(F.col("_seen"))
     met = stored(met.select(*columns, first.alias("_first")), "results")
-    copies = met.where("_first").groupBy(*columns).agg(F.count("*").alias("_n"))
+    again = met.where("_first").groupBy(F.col("call_id").alias("_c")).agg(F.count("*").alias("_k")).where("_k > 1").select("_c")
+    again = small_side(stored(again, "repeated-results"))
+    copies = met.where("_first").join(again, F.col("call_id") == F.col("_c"), "left_semi").groupBy(*columns).agg(F.count("*").alias("_n"))
     one = copies.groupBy(F.col("call_id").alias("_c")).agg(F.min(F.struct(*columns)).alias("_one"))
     left = copies.join(one, F.col("call_id") == F.col("_c")).withColumn("_n", F.col("_n") - F.struct(*columns).eqNullSafe(F.col("_one")).cast("int"))
-    again = left.where("_n > 0").select(F.explode(F.array_repeat(F.struct(*columns), F.col("_n").cast("int"))).alias("_r")).select("_r.*")
-    return results.where("call_id is null").unionByName(met.where("not _first").drop("_first")).unionByName(again)
+    rest = left.where("_n > 0").select(F.explode(F.array_repeat(F.struct(*columns), F.col("_n").cast("int"))).alias("_r")).select("_r.*")
+    return results.where("call_id is null").unionByName(met.where("not _first").drop("_first")).unionByName(rest)
 
 
 def serialised(linked: DataFrame) -> DataFrame:

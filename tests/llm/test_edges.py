@@ -3,6 +3,7 @@
 import os
 import random
 import time
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -146,6 +147,14 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results, schemas).collect() == [] and tool_calls.unlinked(calls, results.limit(0)).collect() == []
 
 
+def test_results_that_come_many_times(spark):
+    """One call takes one of five hundred equal results; none is lost, and null contents are contents."""
+    calls = spark.createDataFrame([(1, 0, 0, "a", "f", "{}", None, 1, "x", 2), (1, 1, 0, "b", "f", "{}", None, 1, "x", 2)], CALLS)
+    rows = [("a", 1, "x", 1)] * 500 + [("a", 2, "y", 1)] * 300 + [(None, 1, "z", 1)] * 200 + [("q", 1, "w", 1)] * 50 + [("b", None, None, 1), ("b", None, None, 2), ("b", 3, None, 2)]
+    got = Counter((r["call_id"], r["turn"], r["content"]) for r in tool_calls.unlinked(calls, spark.createDataFrame(rows, RESULTS).repartition(4)).collect())
+    assert got == {("a", 1, "x"): 499, ("a", 2, "y"): 300, (None, 1, "z"): 200, ("q", 1, "w"): 50, ("b", None, None): 1, ("b", 3, None): 1}
+
+
 def test_levels_against_longest_ways(spark):
     """Random parents: acyclic, then with cycles."""
     r = random.Random(3)
