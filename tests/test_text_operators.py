@@ -67,3 +67,18 @@ def test_audit(spark):
     docs = spark.createDataFrame([("a", "x" * 60), ("a", None), ("b", "---\nk: v\n---\n# H\n[[l]] " + "y" * 400)], "lang string, text string")
     got = {r["lang"]: r for r in audit.counts(docs, ["lang"]).collect()}
     assert got["a"]["stub"] == 1 and got["a"]["thin"] == 1 and got["b"]["no_link"] == 0 and got["b"]["no_heading"] == 0 and got["b"]["no_frontmatter"] == 0
+
+
+def test_leaks_against_every_window(spark):
+    """Repeated characters, blocks' borders, texts of exactly one window, and many places with one hash."""
+    import random
+
+    r = random.Random(6)
+    secret = ["".join(r.choice("ab ") for _ in range(n)).strip() or "a" for n in (39, 40, 41, 500, 2500)] + ["x" * 200, "", None]
+    texts = [secret[3][100:160], secret[4][950:1060], secret[4][2300:2345] + "z" * 3000, "q" * 990 + secret[4][1200:1300], "x" * 39, "x" * 40, "y" + secret[1] + "y", None, "", secret[0]]
+    plain = lambda t: " ".join((t or "").split())
+    want = {(i, j) for i, s in enumerate(secret) for j, t in enumerate(texts) if any(plain(s)[k : k + 40] in plain(t) for k in range(0, len(plain(s)) - 39, 4))}
+    private = spark.createDataFrame(list(enumerate(secret)), "private_id long, text string")
+    probes = spark.createDataFrame(list(enumerate(texts)), "probe_id long, text string")
+    assert {tuple(x) for x in terms.leaks(private, probes).collect()} == want and len(want) >= 5
+    assert terms.leaks(private.limit(0), probes).collect() == []
