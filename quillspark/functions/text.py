@@ -116,7 +116,7 @@ def _words(text: Column) -> Column:
 def _stem(word: Column) -> Column:
     """The word without its particle, the longest that leaves two characters or more."""
     # The kept part is matched lazily, so that the longest particle goes.
-    return F.regexp_replace(word, rf"^(.{{2,}}?)(?:{'|'.join(PARTICLES)})$", "$1")
+    return F.when(word.rlike("[가-힣]$"), F.regexp_replace(word, rf"^(.{{2,}}?)(?:{'|'.join(PARTICLES)})$", "$1")).otherwise(word)
 
 
 def _pairs(stem: Column) -> Column:
@@ -139,7 +139,7 @@ def primary_stems(text: Column) -> Column:
 
 def sub_stems(text: Column) -> Column:
     """Pairs of neighbouring syllables of stems that have three or more."""
-    return F.flatten(F.transform(_words(text), lambda w: _pairs(_stem(w))))
+    return F.flatten(F.transform(F.filter(_words(text), lambda w: w.rlike("[가-힣]")), lambda w: _pairs(_stem(w))))
 
 
 def weighted_stems(query: Column, share: float = 0.3) -> Column:

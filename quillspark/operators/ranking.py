@@ -56,10 +56,13 @@ def field_hits(docs: DataFrame, fields: dict[str, tuple[Column, int]], wanted: l
     """
     held = [f"_f{i}" for i in range(len(fields))]
     weights = [w for _, w in fields.values()]
-    # Token arrays are columns before lambdas use them, and stored before they are folded: each text is cut up once.
-    cut_up = docs.select("doc_id", *keep, *[tokenize(c).alias(h) for h, (c, _) in zip(held, fields.values())], (tokenize(name) if name is not None else F.array().cast("array<string>")).alias("_name"))
-    only = lambda h: F.filter(h, lambda x: x.isin(wanted))
-    stored = cut(cut_up.select("doc_id", *keep, _sum([F.size(h) * w for h, w in zip(held, weights)]).cast("long").alias("dl"), *[only(h).alias(h) for h in held], only("_name").alias("_name")))
+    # A row that is exploded from a one-element array stays a column of its own: its token arrays are computed once, for the
+    # lengths and for what is kept of them.
+    cut_up = F.struct(*[tokenize(c).alias(h) for h, (c, _) in zip(held, fields.values())], (tokenize(name) if name is not None else F.array().cast("array<string>")).alias("_name"))
+    rows = docs.select("doc_id", *keep, F.explode(F.array(cut_up)).alias("_t"))
+    only = lambda h: F.filter(F.col(f"_t.{h}"), lambda x: x.isin(wanted))
+    dl = _sum([F.size(F.col(f"_t.{h}")) * w for h, w in zip(held, weights)]).cast("long")
+    stored = cut(rows.select("doc_id", *keep, dl.alias("dl"), *[only(h).alias(h) for h in held], only("_name").alias("_name")))
     count = lambda t: _sum([F.size(F.filter(h, lambda x: x == t)) * w for h, w in zip(held, weights)])
     found = F.transform(F.array_distinct(F.concat(*held)), lambda t: F.struct(t.alias("term"), count(t).cast("long").alias("tf"), F.array_contains("_name", t).alias("named")))
     rows = stored.select("doc_id", "dl", *keep, F.posexplode_outer(found).alias("pos", "h"))
