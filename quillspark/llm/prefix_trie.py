@@ -45,7 +45,7 @@ def ordered(conversations: DataFrame, p: TrieParams = TrieParams()) -> DataFrame
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256).alias("t"), F.octet_length(text).cast("long").alias("bytes")
     )
     block = F.coalesce(F.expr(f"turn div {p.block}"), F.lit(-(1 << 62)))
-    finer = F.conv(F.substring("t", 1, 4), 16, 10).cast("int")
+    finer = F.struct("turn", F.conv(F.substring("t", 1, 4), 16, 10).cast("int").alias("t"))
     numbered = ranked(turns, ["conv_id"], [F.col("turn").asc_nulls_first(), "t"], block, finer, p.block)
     return stored(numbered.select("conv_id", F.col("rank").cast("long").alias("rank"), "t", "bytes"), "turns")
 
@@ -98,18 +98,22 @@ def prefixes(turns: DataFrame, p: TrieParams) -> DataFrame:
 
 
 def screened(found: DataFrame, p: TrieParams) -> DataFrame:
-    """Add `single` and `parent_single`: the sketch proves that no other conversation begins so. The root is never single."""
+    """Add `single` and `parent_single`: the sketch proves that no other conversation begins so. The root is never single.
+
+    What continues a single prefix is single too, even where all its counters are shared: it goes by its conversation's first.
+    """
     width = count_min.width_for(found.count(), p.width)
     bits = count_min.repeated(found, "p1", "p2", width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = lambda c: b.column(c).to_numpy()
-            single = count_min.once(bits, at("p1"), at("p2"), width)
-            above = count_min.once(bits, at("q1"), at("q2"), width) & (at("d") > 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(single), pa.array(above)], names=[*b.schema.names, "single", "parent_single"])
+            yield b.filter(pa.array(count_min.once(bits, at("p1"), at("p2"), width)))
 
-    return found.mapInArrow(run, found.schema.simpleString()[7:-1].replace(":", " ") + ", single boolean, parent_single boolean")
+    proved = found.select("conv_id", "d", "p1", "p2").mapInArrow(run, "conv_id long, d long, p1 long, p2 long")
+    firsts = stored(proved.groupBy(F.col("conv_id").alias("_c")).agg(F.min("d").alias("_d")), "first-singles")
+    met = found.join(small_side(firsts), F.col("conv_id") == F.col("_c"), "left")
+    return met.withColumns({"single": F.coalesce(F.col("d") >= F.col("_d"), F.lit(False)), "parent_single": F.coalesce(F.col("d") > F.col("_d"), F.lit(False))}).drop("_c", "_d")
 
 
 def member_hashes(ends: DataFrame, p: TrieParams) -> DataFrame:

@@ -84,6 +84,16 @@ def test_hot_beginnings_and_copies(spark):
     assert got(T.trie(frame(spark, rows), T.TrieParams(block=2, part=16))) == brute(rows)
 
 
+def test_what_continues_a_single_prefix_is_single_whatever_its_counters_say(spark):
+    rows = [(c, k, "user", "same" if k < 2 else f"own {c} {k}") for c in range(0, 1000, 5) for k in range(60)]
+    assert got(T.trie(frame(spark, rows))) == brute(rows)
+
+
+def test_large_blocks_keep_the_order_of_turns(spark):
+    rows = [(c, k + at, "user", f"turn {k}") for c, at in ((10, -9), (20, 0)) for k in range(18)]
+    assert got(T.trie(frame(spark, rows), T.TrieParams(block=6))) == brute(rows)
+
+
 def test_no_single_estimate_is_wrong(spark):
     r = np.random.default_rng(3)
     a, b = r.integers(-(1 << 62), 1 << 62, 5000), r.integers(-(1 << 62), 1 << 62, 5000)
