@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import occurrences
 
 
+#: Vectors that a block of queries is scored against at a time.
+PIECE = 1024
+
+
 def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
@@ -115,7 +119,8 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, block: int, columns: list
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches):
-            for b in batches:
+            # Scores take a block of queries times a piece of a batch, whatever a batch holds.
+            for b in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
                 b = b.filter(b.column("embedding").is_valid())
                 if not b.num_rows or not len(ids):
                     continue

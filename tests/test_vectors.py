@@ -29,3 +29,12 @@ def test_pool_reaches_every_group(spark):
     got = {(x["query_id"], x["label"]): x["score"] for x in search.vector_pool(v, v.where("vec_id in (0, 50, 100)"), "label", block=2).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-5 for k in want)
     assert search.vector_pool(v.limit(0), v.limit(0), "label").collect() == []
+
+
+def test_scores_take_a_piece_of_a_batch_at_a_time(spark):
+    import pyarrow as pa
+
+    v = frame(spark, [(i, 0, (1, i)) for i in range(3 * search.PIECE + 5)]).coalesce(1)
+    emit = lambda ids, b, s: pa.record_batch([pa.array([s.shape[1]])], names=["n"])
+    got = [r["n"] for r in search._by_blocks(v, v.where("vec_id < 2"), 1024, [], emit, "n long").collect()]
+    assert sum(got) == v.count() and max(got) <= search.PIECE
