@@ -5,7 +5,8 @@ disguised forms that the detectors miss (`pii_forms`), and numbers that are no p
 windows is held out; on it the certainty is chosen that a span needs. Spans of the model must hold what their kind says
 (four numbers up to 255, a card's check digit, a telephone's count of digits, an "@" or "at" and a "." or "dot").
 
-Windows are taken around digits, "@" and bracketed "at" and "dot"; a disguised form without any of these is not found.
+A span counts only if it holds what its kind must: digits, "@" or the word "at". So decoding looks at every window that holds
+one of these; no other window could give a span.
 Windows are decoded on their own and reconciled over the whole text: of all windows' spans the compatible set with the
 largest total evidence stays. Base spans always stay; the model adds spans that touch none of them.
 
@@ -40,7 +41,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-TRIGGER = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]")
+#: What every span that `holds` accepts has in it.
+TRIGGER = re.compile(r"[0-9@]|\bat\b")
+#: Where training looks for labelled spans and for what looks like them.
+LABELLED = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]")
 
 
 @dataclass(frozen=True)
@@ -83,10 +87,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def windows(text: str, p: PiiParams) -> list[tuple[int, int]]:
+def windows(text: str, p: PiiParams, trigger: re.Pattern = TRIGGER) -> list[tuple[int, int]]:
     """Overlapping (start, end) that cover every trigger with all windows of the stride's grid that hold its cell."""
     # Of a grid's cell the windows are the same for all its characters.
-    cells = {m.start() // p.stride for m in TRIGGER.finditer(text)}
+    cells = {m.start() // p.stride for m in trigger.finditer(text)}
     starts = {s for c in cells for s in range(max(0, (c + 1) * p.stride - p.window), c * p.stride + 1, p.stride)}
     return [(s, min(s + p.window, len(text))) for s in sorted(starts)]
 
@@ -113,7 +117,7 @@ def training_windows(docs: DataFrame, p: PiiParams) -> list[tuple[str, np.ndarra
             rows = []
             for text in b["text"].dropna():
                 found = base_spans(text)
-                for s, e in windows(text, p):
+                for s, e in windows(text, p, LABELLED):
                     # A window that cuts a span would teach that its characters are clean.
                     if not any(a < s < z or a < e < z for k in KINDS for a, z in found[k]):
                         rows.append((text[s:e], _tags(e - s, found, s).astype(np.int8).tobytes()))

@@ -197,3 +197,18 @@ def test_stored_tables_are_cleared(spark):
     common.clear(spark)
     assert not os.path.exists(folder)
     common.clear(spark)
+
+
+def test_every_window_that_can_hold_a_span_is_looked_at():
+    """Of all windows of the grid, those left out hold nothing that any kind accepts."""
+    from quillspark.llm import pii
+    from quillspark.llm.pii_forms import holds
+
+    p = pii.PiiParams()
+    for text in ("write to anna at example dot org today " + "and that is what it was about " * 9, "x" * 70 + " bob at host dot net " + "y" * 70, "plain words alone " * 20, "call 12 34"):
+        taken = {s for s, _ in pii.windows(text, p)}
+        for s in range(0, len(text), p.stride):
+            part = text[s : s + p.window]
+            if s not in taken:
+                assert not any(holds(k, part[a:b]) for k in pii.KINDS for a in range(len(part)) for b in range(a + 3, len(part) + 1))
+    assert len(pii.windows("x" * 70 + " bob at host dot net " + "y" * 70, p)) >= 4
