@@ -20,9 +20,11 @@ def _docs(spark, d):
 def stem_counts(spark, d):
     """Terms of the app's tokenizer over all texts, with a Korean word and a date in every third."""
     extra = F.when(F.col("doc_id") % 3 == 0, " 전투시스템에서는 3일").otherwise("")
-    t = F.concat(F.coalesce("text", F.lit("")), extra)
-    terms = _docs(spark, d).select(F.concat(T.primary_stems(t), T.sub_stems(t)).alias("terms"))
-    return terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    t = F.col("t")
+    docs = _docs(spark, d).select(F.concat(F.coalesce("text", F.lit("")), extra).alias("t"))
+    # An outer explode: Spark would compute the terms once more to leave out texts without any.
+    terms = docs.select(F.explode_outer(F.concat(T.primary_stems(t), T.sub_stems(t))).alias("term"))
+    return terms.where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def query_weights(spark, d):
