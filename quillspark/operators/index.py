@@ -12,7 +12,8 @@ from quillspark.functions.text import tokens
 
 def postings(docs: DataFrame, text: str = "text", cap: int | None = None) -> DataFrame:
     """doc_id, term, tf of every document."""
-    terms = docs.select("doc_id", F.explode(tokens(F.col(text))).alias("term"))
+    # An outer explode: Spark would compute the tokens once more to leave out texts without any.
+    terms = docs.select("doc_id", F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null")
     tf = F.count("*")
     return terms.groupBy("doc_id", "term").agg((F.least(tf, F.lit(cap)) if cap else tf).cast("long").alias("tf"))
 
