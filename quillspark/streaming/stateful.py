@@ -2,11 +2,16 @@
 
 A key's rows of one batch are taken in order of time; what is due before a row happens before it, and what is due after a
 key's last row is fired by a timer once the watermark has passed. So rows come out alike however a stream is cut into batches.
+
+Versions and reactions deal paths to buckets by a hash, and keep a path's state as an entry of its bucket's map: a call of
+Python, its frames and its timers serve all paths of a bucket, while a batch still reads and writes the entries of its own
+paths only. The number of buckets belongs to the state: a stream that goes on must keep it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,37 +25,46 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str], columns: list[str]):
     return list(zip(*[held[c].tolist() for c in columns]))
 
 
+BUCKETS = 4096
+
+
+def _bucketed(rows: DataFrame, buckets: int):
+    """The rows by bucket. Paths go as text, which a null among them leaves as it is."""
+    return rows.withColumn("path", F.col("path").cast("string")).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).groupBy("bucket")
+
+
 class Versions(StatefulProcessor):
     """put, delete, echo (a write that the state knows) or stale, against the newest version of a path; a newer generation starts anew."""
 
     def init(self, handle) -> None:
-        self.now = handle.getValueState("now", "generation long, seq long, etag string")
+        self.now = handle.getMapState("now", "path string", "generation long, seq long, etag string")
 
     def handleInputRows(self, key, rows, timerValues):
-        generation, seq, etag = self.now.get() if self.now.exists() else (None, -1, "")
-        out = []
-        for s, g, own, gone in _ordered(rows, ["seq"], ["seq", "generation", "etag", "deleted"]):
-            if generation is None or g > generation:
-                generation, seq, etag = g, -1, None
-            own = "" if gone else own
-            if g < generation or s <= seq:
-                action = "stale"
-            else:
-                action = "echo" if own == etag else "delete" if gone else "put"
-                seq, etag = s, own
-            out.append((key[0], s, g, action))
-        self.now.update((generation, seq, etag))
+        out, known = [], self.now.exists()
+        for path, own_rows in groupby(_ordered(rows, ["path", "seq"], ["path", "seq", "generation", "etag", "deleted"]), key=lambda r: r[0]):
+            generation, seq, etag = known and self.now.getValue((path,)) or (None, -1, "")
+            for _, s, g, own, gone in own_rows:
+                if generation is None or g > generation:
+                    generation, seq, etag = g, -1, None
+                own = "" if gone else own
+                if g < generation or s <= seq:
+                    action = "stale"
+                else:
+                    action = "echo" if own == etag else "delete" if gone else "put"
+                    seq, etag = s, own
+                out.append((path, s, g, action))
+            self.now.updateValue((path,), (generation, seq, etag))
         yield pd.DataFrame(out, columns=["path", "seq", "generation", "action"])
 
     def close(self) -> None:
         pass
 
 
-def versions(changes: DataFrame) -> DataFrame:
+def versions(changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """path, seq, generation and action of a stream of changes (path, seq, generation, etag, deleted)."""
-    kind = changes.schema["path"].dataType.simpleString()
     rows = changes.select("path", "seq", "generation", F.coalesce("etag", F.lit("")).alias("etag"), "deleted")
-    return rows.groupBy("path").transformWithStateInPandas(Versions(), f"path {kind}, seq long, generation long, action string", "append", "None")
+    found = _bucketed(rows, buckets).transformWithStateInPandas(Versions(), "path string, seq long, generation long, action string", "append", "None")
+    return found.withColumn("path", F.col("path").cast(changes.schema["path"].dataType))
 
 
 class Reactions(StatefulProcessor):
@@ -61,58 +75,69 @@ class Reactions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "seq long, etag string, last long, waiting long, waiting_etag string")
+        self.now = handle.getMapState("now", "path string", "seq long, etag string, last long, waiting long, waiting_etag string")
+        #: For each timer the paths that may wait for it; those that no longer do are passed over when it fires.
+        self.due = handle.getMapState("due", "at long", "paths array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        seq, etag, last, waiting, waiting_etag = self.now.get() if self.now.exists() else (-1, None, None, None, None)
-        out, behind = [], timerValues.getCurrentWatermarkInMs()
-        for at, s, own in _ordered(rows, ["at", "seq"], ["at", "seq", "etag"]):
-            if at < behind:
-                out.append((key[0], s, at, "dropped"))
-                continue
-            if waiting is not None and at >= last + self.cooldown:
-                last, etag = last + self.cooldown, waiting_etag
-                out.append((key[0], waiting, last, "reacted late"))
-                waiting = waiting_etag = None
-            if s <= seq:
-                action = "dropped"
-            elif own == etag:
-                action = "seen"
-            elif last is None or at >= last + self.cooldown:
-                action, etag, last = "reacted", own, at
-            else:
-                action = "deferred"
-                if waiting is not None:
-                    out.append((key[0], waiting, at, "superseded"))
-                waiting, waiting_etag = s, own
-            seq = max(seq, s)
-            out.append((key[0], s, at, action))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if waiting is not None:
-            self.handle.registerTimer(last + self.cooldown)
-        self.now.update((seq, etag, last, waiting, waiting_etag))
+        out, timers, behind, known = [], {}, timerValues.getCurrentWatermarkInMs(), self.now.exists()
+        for path, own_rows in groupby(_ordered(rows, ["path", "at", "seq"], ["path", "at", "seq", "etag"]), key=lambda r: r[0]):
+            seq, etag, last, waiting, waiting_etag = known and self.now.getValue((path,)) or (-1, None, None, None, None)
+            due = None if waiting is None else last + self.cooldown
+            for _, at, s, own in own_rows:
+                if at < behind:
+                    out.append((path, s, at, "dropped"))
+                    continue
+                if waiting is not None and at >= last + self.cooldown:
+                    last, etag = last + self.cooldown, waiting_etag
+                    out.append((path, waiting, last, "reacted late"))
+                    waiting = waiting_etag = None
+                if s <= seq:
+                    action = "dropped"
+                elif own == etag:
+                    action = "seen"
+                elif last is None or at >= last + self.cooldown:
+                    action, etag, last = "reacted", own, at
+                else:
+                    action = "deferred"
+                    if waiting is not None:
+                        out.append((path, waiting, at, "superseded"))
+                    waiting, waiting_etag = s, own
+                seq = max(seq, s)
+                out.append((path, s, at, action))
+            if waiting is not None and last + self.cooldown != due:
+                timers.setdefault(last + self.cooldown, []).append(path)
+            self.now.updateValue((path,), (seq, etag, last, waiting, waiting_etag))
+        for at, paths in timers.items():
+            before = self.due.getValue((at,))
+            self.due.updateValue((at,), ((list(before[0]) if before else []) + paths,))
+            self.handle.registerTimer(at)
         yield pd.DataFrame(out, columns=["path", "seq", "at", "action"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        seq, _, last, waiting, waiting_etag = self.now.get()
-        if waiting is not None and expiredTimerInfo.getExpiryTimeInMs() == last + self.cooldown:
-            self.now.update((seq, waiting_etag, last + self.cooldown, None, None))
-            yield pd.DataFrame([(key[0], waiting, last + self.cooldown, "reacted late")], columns=["path", "seq", "at", "action"])
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for path in self.due.getValue((at,))[0]:
+            seq, _, last, waiting, waiting_etag = self.now.getValue((path,))
+            if waiting is not None and at == last + self.cooldown:
+                self.now.updateValue((path,), (seq, waiting_etag, at, None, None))
+                out.append((path, waiting, at, "reacted late"))
+        self.due.removeKey((at,))
+        if out:
+            yield pd.DataFrame(out, columns=["path", "seq", "at", "action"])
 
     def close(self) -> None:
         pass
 
 
-def reactions(saves: DataFrame, cooldown_ms: int = 6 * 3_600_000, late: str = "10 minutes") -> DataFrame:
+def reactions(saves: DataFrame, cooldown_ms: int = 6 * 3_600_000, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """path, seq, at (ms) and action of a stream of saves (path, seq, etag, ts).
 
     reacted, deferred, superseded (by a later deferred save), reacted late (when the cool-down ends), seen (the version that
     was reacted to last) or dropped (older than one already met, or behind the watermark, so that late rows can be counted).
     """
-    rows = saves.withWatermark("ts", late).select("path", "seq", F.coalesce("etag", F.lit("")).alias("etag"), "ts", F.unix_millis("ts").alias("at"))
-    kind = saves.schema["path"].dataType.simpleString()
-    return rows.groupBy("path").transformWithStateInPandas(Reactions(cooldown_ms), f"path {kind}, seq long, at long, action string", "append", "EventTime")
+    rows = saves.withWatermark("ts", late).select("path", "seq", F.coalesce("etag", F.lit("")).alias("etag"), F.unix_millis("ts").alias("at"))
+    found = _bucketed(rows, buckets).transformWithStateInPandas(Reactions(cooldown_ms), "path string, seq long, at long, action string", "append", "EventTime")
+    return found.withColumn("path", F.col("path").cast(saves.schema["path"].dataType))
 
 
 class Raised(StatefulProcessor):

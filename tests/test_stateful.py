@@ -87,3 +87,28 @@ def test_late_rows_leave_the_state_alone(spark, tmp_path):
 def test_empty_stream(spark, tmp_path):
     saves = stream(spark, tmp_path, [[]], "path string, seq long, etag string, at long").withColumn("ts", since("at"))
     assert finished(stateful.reactions(saves), "e").collect() == []
+
+
+MET = [("a", 1, "x", 0), ("b", 2, "x", 0), (None, 3, "x", 0), ("a", 4, "y", HOUR), (None, 5, "y", HOUR), ("b", 6, "y", 2 * HOUR), ("a", 7, "z", 5 * HOUR), ("e", 8, "q", 30 * HOUR), ("b", 9, "w", 31 * HOUR), ("f", 10, "q", 40 * HOUR)]
+MET_WANT = [
+    ("a", 1, 0, "reacted"), ("a", 4, HOUR, "deferred"), ("a", 4, 5 * HOUR, "superseded"), ("a", 7, 5 * HOUR, "deferred"), ("a", 7, 6 * HOUR, "reacted late"), ("b", 2, 0, "reacted"), ("b", 6, 2 * HOUR, "deferred"), ("b", 6, 6 * HOUR, "reacted late"),
+    ("b", 9, 31 * HOUR, "reacted"), (None, 3, 0, "reacted"), (None, 5, HOUR, "deferred"), (None, 5, 6 * HOUR, "reacted late"), ("e", 8, 30 * HOUR, "reacted"), ("f", 10, 40 * HOUR, "reacted"),
+]
+
+
+@pytest.mark.parametrize("cuts", [[], [4, 6, 8], [1, 2, 3, 4, 5, 6, 7, 8, 9]])
+def test_paths_of_a_bucket_that_wait_for_the_same_time(spark, tmp_path, cuts):
+    batches = [MET[a:b] for a, b in zip([0, *cuts], [*cuts, len(MET)])]
+    saves = stream(spark, tmp_path, batches, "path string, seq long, etag string, at long").withColumn("ts", since("at"))
+    rows = finished(stateful.reactions(saves, 6 * HOUR, "1 minute", buckets=1), "bucket").collect()
+    assert sorted((tuple(r) for r in rows), key=repr) == sorted(((path, seq, at + BASE, action) for path, seq, at, action in MET_WANT), key=repr)
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_versions_of_many_paths_share_a_bucket(spark, tmp_path, buckets):
+    big = 2**60 + 1
+    batches = [[(p, s, 1, "x", None) for p in (None, 1, 2, big) for s in (2, 1)], [(p, s, 1, "x" if p == 1 else "y", False) for p in (None, 1, big) for s in (2, 3)]]
+    rows = stream(spark, tmp_path, batches, "path long, seq long, generation long, etag string, deleted boolean")
+    got = finished(stateful.versions(rows, buckets), "bucket").collect()
+    want = [(p, s, 1, {1: "put", 2: "echo"}[s]) for p in (None, 1, 2, big) for s in (1, 2)] + [(p, s, 1, "stale" if s == 2 else "echo" if p == 1 else "put") for p in (None, 1, big) for s in (2, 3)]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
