@@ -3,7 +3,7 @@
 A key's rows of one batch are taken in order of time; what is due before a row happens before it, and what is due after a
 key's last row is fired by a timer once the watermark has passed. So rows come out alike however a stream is cut into batches.
 
-Versions and reactions deal paths to buckets by a hash, and keep a path's state as an entry of its bucket's map: a call of
+Paths are dealt to buckets by a hash, and a path's state is an entry of its bucket's map: a call of
 Python, its frames and its timers serve all paths of a bucket, while a batch still reads and writes the entries of its own
 paths only. The number of buckets belongs to the state: a stream that goes on must keep it.
 """
@@ -147,26 +147,30 @@ class Raised(StatefulProcessor):
         self.apart = apart
 
     def init(self, handle) -> None:
-        self.last = handle.getMapState("raised", "other string", "at long", self.apart)
+        self.last = handle.getMapState("raised", "path string, other string", "at long", self.apart)
 
     def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for at, other in _ordered(rows, ["at", "other"], ["at", "other"]):
-            before = self.last.getValue((other,)) if self.last.containsKey((other,)) else None
-            if before is None or at - before[0] >= self.apart:
-                self.last.updateValue((other,), (at,))
-                out.append((key[0], other, at))
+        out, known = [], self.last.exists()
+        for pair, own_rows in groupby(_ordered(rows, ["path", "other", "at"], ["path", "other", "at"]), key=lambda r: r[:2]):
+            before = known and self.last.getValue(pair)
+            last = old = before[0] if before else None
+            for *_, at in own_rows:
+                if last is None or at - last >= self.apart:
+                    last = at
+                    out.append((*pair, at))
+            if last != old:
+                self.last.updateValue(pair, (last,))
         yield pd.DataFrame(out, columns=["path", "other", "at"])
 
     def close(self) -> None:
         pass
 
 
-def raised(found: DataFrame, apart_ms: int = 7 * 86_400_000) -> DataFrame:
+def raised(found: DataFrame, apart_ms: int = 7 * 86_400_000, buckets: int = BUCKETS) -> DataFrame:
     """path, other and at of a stream of findings (path, other, at in ms), each pair at most once in the time."""
     rows = found.select("path", F.coalesce(F.col("other").cast("string"), F.lit("")).alias("other"), "at")
-    kind = found.schema["path"].dataType.simpleString()
-    return rows.groupBy("path").transformWithStateInPandas(Raised(apart_ms), f"path {kind}, other string, at long", "append", "ProcessingTime")
+    pairs = _bucketed(rows, buckets).transformWithStateInPandas(Raised(apart_ms), "path string, other string, at long", "append", "ProcessingTime")
+    return pairs.withColumn("path", F.col("path").cast(found.schema["path"].dataType))
 
 
 def attributed(causes: DataFrame, effects: DataFrame, key: str, within: str, late: str) -> DataFrame:

@@ -112,3 +112,10 @@ def test_versions_of_many_paths_share_a_bucket(spark, tmp_path, buckets):
     got = finished(stateful.versions(rows, buckets), "bucket").collect()
     want = [(p, s, 1, {1: "put", 2: "echo"}[s]) for p in (None, 1, 2, big) for s in (1, 2)] + [(p, s, 1, "stale" if s == 2 else "echo" if p == 1 else "put") for p in (None, 1, big) for s in (2, 3)]
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_of_many_paths_share_a_bucket(spark, tmp_path):
+    day = 86_400_000
+    rows = stream(spark, tmp_path, [[(p, o, d * day) for p in (None, 1, 2**60 + 1) for o in ("b", None) for d in (0, 3, 8)]], "path long, other string, at long")
+    got = finished(stateful.raised(rows, buckets=1), "p", once=True).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(p, o, d * day) for p in (None, 1, 2**60 + 1) for o in ("b", "") for d in (0, 8)], key=repr)
