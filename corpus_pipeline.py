@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import decontam, near, packing, pii, quality
 from quillspark.llm.common import stored, table
 
-#: Near-duplicates share 0.8 of their five-word shingles: fingerprints can neither find nor confirm that, whole sets can.
+#: Near-duplicates share 0.8 of their five-word shingles: fingerprints find the nearest, whole sets confirm them, and an exact filter finds the others.
 NEAR = near.NearParams(shingle=5, num=4, den=5)
 
 

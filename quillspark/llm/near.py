@@ -1,4 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets, found through prefix filtering.
+"""Near-duplicates by SimHash fingerprints and exact Jaccard similarity of shingle sets.
+
+Fingerprints (`simhash`: blocks of bits, pivot distance tables, spanning links) come first: what they find within `bits`
+differing bits is verified on whole sets, since near fingerprints don't show that sets are similar. Nor are those of
+similar sets always near, so an exact prefix filter follows for the pairs that verified links don't join yet.
 
 Two sets that share 4/5 of their union share an element among the first fifth of each in any common order, so sets that
 meet in no bucket of such elements can't be similar: no pair is lost. The order puts shingles that a sample of
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, small_side, stored, words
-from quillspark.llm.simhash import references, remixed, shingles
+from quillspark.llm.simhash import SimHashParams, edges_of, majority, references, remixed, shingles
 from quillspark.operators.graph import components
 
 
@@ -40,6 +44,7 @@ class NearParams:
     shingle: int = 5
     num: int = 4
     den: int = 5
+    bits: int = 4
     direct: int = 8
     rounds: int = 2
     partners: int = 4
@@ -51,6 +56,7 @@ class NearParams:
 SIGNATURE = [f"g{k}" for k in range(4)]
 #: A prefix's elements as bits of a map, and how many elements found their bit taken.
 PREFIX = [f"p{k}" for k in range(8)] + ["taken"]
+OWN = [*SIGNATURE, *PREFIX, "fp0"]
 
 
 def prefix_map(h: np.ndarray) -> np.ndarray:
@@ -84,7 +90,7 @@ def common_shingles(docs: DataFrame, p: NearParams) -> np.ndarray:
 
 
 def sets(docs: DataFrame, common: np.ndarray, p: NearParams, whole: bool) -> DataFrame:
-    """doc_id, text_id, node (a hash of the set), n (its size) and s: the whole set, or the prefix that a similar set must meet, with the signature."""
+    """doc_id, text_id, node (a hash of the set), n (its size) and s: the whole set, or the prefix that a similar set must meet, with the signature, the prefix's map and the fingerprint."""
     order = np.argsort(common)
     known, place = common[order], order.astype(np.uint64)
 
@@ -109,11 +115,12 @@ def sets(docs: DataFrame, common: np.ndarray, p: NearParams, whole: bool) -> Dat
             found = [one(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
             node, n, s, g = zip(*found) if found else ((), (), (), ())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))
-            own = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists, *map(pa.array, np.array(g, dtype=np.int64).reshape(-1, len(SIGNATURE) + len(PREFIX)).T)]
-            yield pa.record_batch([b.column("doc_id"), b.column("text_id"), *own], names=["doc_id", "text_id", "node", "n", "s", *SIGNATURE, *PREFIX])
+            fp = majority(values[offsets[0] : offsets[-1]].view(np.uint64), offsets.astype(np.int64) - offsets[0]).view(np.int64)
+            own = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists, *map(pa.array, np.array(g, dtype=np.int64).reshape(-1, len(SIGNATURE) + len(PREFIX)).T), pa.array(fp)]
+            yield pa.record_batch([b.column("doc_id"), b.column("text_id"), *own], names=["doc_id", "text_id", "node", "n", "s", *OWN])
 
     rows = hashed(docs, p.shingle)
-    return rows.mapInArrow(run, rows.drop("h").schema.simpleString()[7:-1] + ", node long, n long, s array<long>, " + ", ".join(f"{g} long" for g in [*SIGNATURE, *PREFIX]))
+    return rows.mapInArrow(run, rows.drop("h").schema.simpleString()[7:-1] + ", node long, n long, s array<long>, " + ", ".join(f"{g} long" for g in OWN))
 
 
 def buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -240,14 +247,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearParams)
     return both.where(shared * (p.num + p.den) >= (F.size("sa") + F.size("sb")) * p.num).select(F.col("b").alias("src"), F.col("a").alias("dst"))
 
 
+def near_fingerprints(nodes: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """Links (src, dst) between nodes whose fingerprints are the same or within `bits`, and whose whole sets reach the similarity."""
+    found = edges_of(nodes.select("node", "fp0"), "fp0", SimHashParams(shingle=p.shingle, bits=p.bits))
+    return verified(stored(found.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct(), "near-fingerprints"), nodes, docs, p)
+
+
 def roots(edges: DataFrame, name: str) -> DataFrame:
     return stored(components(edges).select(F.col("node").alias("_node"), "root"), name)
 
 
 def links(found: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
     """src and dst: links between nodes (of rows row, text_id, node, n, s) that join all nodes that similar pairs join."""
-    nodes = found.groupBy("node").agg(F.min(F.struct("row", "text_id", *SIGNATURE, *PREFIX)).alias("_low"))
-    nodes = stored(nodes.select("node", F.col("_low.row").alias("_row"), F.col("_low.text_id").alias("low_text"), *[F.col(f"_low.{g}").alias(g) for g in [*SIGNATURE, *PREFIX]]), "nodes")
+    nodes = found.groupBy("node").agg(F.min(F.struct("row", "text_id", *OWN)).alias("_low"))
+    nodes = stored(nodes.select("node", F.col("_low.row").alias("_row"), F.col("_low.text_id").alias("low_text"), *[F.col(f"_low.{g}").alias(g) for g in OWN]), "nodes")
+    joined = stored(near_fingerprints(nodes, docs, p), "fingerprint-links")
     once = found.join(nodes.select("_row"), F.col("row") == F.col("_row"), "left_semi")
     met = stored(candidates(once.select(F.explode("s").alias("s"), "node", "n"), p), "candidates")
     pairs = stored(met.where("not large").groupBy("a", "b").agg(F.sum("one").alias("shared"), F.max("need").alias("need")), "pairs")
@@ -256,8 +270,12 @@ def links(found: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
     ca, cb = (often.select(F.col("a").alias(f"_{c}"), F.col("count").alias(f"_n{c}")) for c in "ab")
     bounded = pairs.join(ca, F.col("a") == F.col("_a"), "left").join(cb, F.col("b") == F.col("_b"), "left")
     likely = bounded.where(F.col("shared") + F.least(F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))) >= F.col("need"))
-    tried = stored(likely.select("a", "b"), "likely-pairs")
-    joined = stored(verified(tried, nodes, docs, p), "links")
+    # Fingerprints have joined some already.
+    top = small_side(roots(joined, "roots-by-fingerprints"))
+    ra, rb = (top.select(F.col("_node").alias(f"_m{c}"), F.col("root").alias(f"_r{c}")) for c in "ab")
+    open_pairs = likely.select("a", "b").join(ra, F.col("a") == F.col("_ma"), "left").join(rb, F.col("b") == F.col("_mb"), "left").where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b"))
+    tried = stored(open_pairs.select("a", "b"), "likely-pairs")
+    joined = stored(joined.union(verified(tried, nodes, docs, p)), "links")
     large = met.where("large").select("token", F.col("a").alias("node"), F.col("b").alias("n"))
     if large.isEmpty():
         return joined

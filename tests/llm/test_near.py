@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from quillspark.llm import near
-from tests.llm.test_brute import WORD, closure, frame, prose
+from tests.llm.test_brute import WORD, closure, fingerprint, frame, prose
 
 
 def shingle_set(t, n=5):
@@ -74,3 +74,17 @@ def test_different_texts_of_one_id_stay(spark):
     a, b, c = (prose(r, 50) for _ in range(3))
     kept = corpus_pipeline.near_dedup(spark, frame(spark, [(1, a), (1, b), (1, b), (2, a), (2, c)]), "").collect()
     assert sorted(tuple(x) for x in kept) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_fingerprints_find_near_copies_that_whole_sets_confirm(spark, monkeypatch):
+    """Without the prefix filter the links are those of fingerprints, and of them those that reach the similarity."""
+    r = random.Random(8)
+    base = [prose(r, 300) for _ in range(60)]
+    texts = base + [changed(r, t, 1 + i % 10) for i, t in enumerate(base)]
+    fp, held = [fingerprint(t, 5) for t in texts], [shingle_set(t) for t in texts]
+    near_by = [(i, i + 60) for i in range(60) if (fp[i] ^ fp[i + 60]).bit_count() <= 4]
+    links = [(b, a) for a, b in near_by if similar(held[a], held[b])]
+    assert len(links) > 8
+    monkeypatch.setattr(near, "candidates", lambda tokens, p: spark.createDataFrame([], "token long, large boolean, a long, b long, need long, one long"))
+    got = {x["doc_id"]: x["component_id"] for x in near.groups(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == closure(len(texts), links)
