@@ -51,11 +51,12 @@ def folded_sections(spark, d):
 
 
 def title_mentions(spark, d):
-    """The documents' whole texts with the first mention of each of a thousand names linked: words of the searched kind, pairs of them, and every supplier's and part's name."""
+    """The documents' whole texts with the first mention of each name linked: words of the searched kind, pairs of them, and every supplier's and part's name."""
     docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     stated = spark.createDataFrame([(n, t) for n, t in NAMES], "name string, target string")
     parts = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("target"))
-    found = rewrite.link_mentions(docs, stated.unionByName(parts))
+    suppliers = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_name").alias("target"))
+    found = rewrite.link_mentions(docs, stated.unionByName(parts).unionByName(suppliers))
     return found.select("doc_id", F.length("body").cast("long").alias("n"), F.md5("body").alias("digest"))
 
 

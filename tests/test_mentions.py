@@ -1,9 +1,11 @@
 """Names linked in place, against a loop over all names; ghosts by any length of name."""
 
+import hashlib
 import random
 import re
 
 from quillspark.operators import rewrite
+from quillspark.plans import index
 
 MASKED = re.compile(r"```.*?```|`[^`\n]*`|!?\[\[.*?\]\]|!?\[[^\]]*\]\([^)]*\)|^#.*?$", re.S | re.M)
 
@@ -66,3 +68,15 @@ def test_ghosts_against_all_pairs(spark):
             want[g] = near[0]
     got = rewrite.replace_ghosts(spark.createDataFrame([(g,) for g in ghosts], "ghost string"), spark.createDataFrame([(t,) for t in titles], "key string")).collect()
     assert {x["ghost"]: x["target"] for x in got} == want and len(got) == len(want)
+
+
+def test_titles_of_parts_and_suppliers(spark, tmp_path):
+    texts = {1: "Supplier#000000007 sells the blue anvil, Supplier#000000007 too", 2: "Supplier#0000000071", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("blue anvil",), (None,)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([("Supplier#000000007",), ("Supplier#000000007",), (None,)], "s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    names = {**dict(index.NAMES), "blue anvil": "blue anvil", "Supplier#000000007": "Supplier#000000007"}
+    want = {k: loop(t or "", names) for k, t in texts.items()}
+    assert want[1] == "[[Supplier#000000007]] sells [[The|the]] [[blue anvil]], Supplier#000000007 too"
+    got = index.title_mentions(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n"], r["digest"]) for r in got} == {k: (len(t), hashlib.md5(t.encode()).hexdigest()) for k, t in want.items()}
