@@ -46,6 +46,11 @@ def test_against_all_pairs(spark, least, pmi, containment, section_terms, best):
     assert sorted(x[2] for x in got) == pytest.approx(sorted(x[2] for x in want))
 
 
+def test_sections_without_rare_terms(spark):
+    for texts in (["all alike"] * 9, ["one here", "two there"], ["single", "", None]):
+        assert terms.synonyms(spark.createDataFrame([(t,) for t in texts], "text string")).collect() == []
+
+
 def test_only_pairs_with_high_counters_are_sent():
     r = random.Random(7)
     texts = [list({f"w{r.randrange(1500)}" for _ in range(12)}) + [f"twin{k % 50}", f"other{k % 50}"] for k in range(3000)]
@@ -57,7 +62,7 @@ def test_only_pairs_with_high_counters_are_sent():
         (packed,) = companions._rows([companions._block([pa.array(texts[k::2], pa.list_(pa.string()))])])
         own = [(p, number[w], df[w]) for p, w in enumerate(packed["terms"].values.to_pylist()) if w in number]
         pos, ids, dfs = (pa.scalar(list(x), pa.list_(pa.int64())) for x in zip(*own))
-        blocks += companions._rows([companions._trimmed({**packed, "block": pa.scalar(k), "pos": pos, "ids": ids, "dfs": dfs}, 1000, 1e9)])
+        blocks += companions._rows(companions._trimmed({**packed, "block": pa.scalar(k), "pos": pos, "ids": ids, "dfs": dfs}, 1000, 1e9))
     counted = [r for x in blocks for r in companions._counted(x, 1)]
     passed = companions._passed(pa.Table.from_batches(counted), 3, 0.5).to_pylist()
     kind = pa.list_(pa.struct([("codes", pa.list_(pa.int32())), ("bits", pa.binary())]))
